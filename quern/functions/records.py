@@ -65,31 +65,44 @@ def _last_value(entries: Column, key: str) -> Column:
     return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
 
 
-def json_text(line: Column, keys: Sequence[str] = TEXT_KEYS, fallback: str = "first") -> Column:
-    """The text of one JSON line; null where it holds none.
+def with_json_text(
+    df: DataFrame,
+    line: str,
+    keys: Sequence[str] = TEXT_KEYS,
+    fallback: str = "first",
+    text: str = "text",
+) -> DataFrame:
+    """Add the text of the JSON line in column ``line``; null where it holds none.
 
     An object gives its first truthy key; without one, ``fallback`` takes the first non-blank
     string value (``first``) or all of them joined by a space (``join``), in the object's order.
     Any other JSON value gives its own spelling, and a line that is not JSON is the text itself.
+    Parsing is a step of its own, so the optimizer keeps it to one run per line.
     """
     if fallback not in ("first", "join"):
         raise ValueError(f"unknown fallback: {fallback!r}")
-    line = strip(line)
-    valid = is_json(line)
-    is_object = line.startswith("{")
-    fields = F.when(
-        valid & is_object, F.from_json(line, T.MapType(T.StringType(), T.VariantType()), _STRICT)
+    quoted = [key for key in keys if "'" in key]
+    if quoted:
+        raise ValueError(f"keys hold quotes: {quoted!r}")
+    stripped = df.withColumn("_line", strip(F.col(f"`{line}`")))
+    content = F.col("_line")
+    is_object = content.startswith("{")
+    as_map = F.from_json(content, T.MapType(T.StringType(), T.VariantType()), _STRICT)
+    checked = stripped.withColumn("_valid", is_json(content))
+    parsed = checked.withColumns(
+        {
+            "_entries": F.when(F.col("_valid") & is_object, F.map_entries(as_map)),
+            "_other": F.when(F.col("_valid") & ~is_object, F.try_parse_json(content)),
+        }
     )
-    entries = F.map_entries(fields)
+    found = parsed.withColumns({f"_key{i}": _last_value(F.col("_entries"), k) for i, k in enumerate(keys)})
     named = []
-    for key in keys:
-        if "'" in key:
-            raise ValueError(f"key holds a quote: {key!r}")
-        value = _last_value(entries, key)
-        raw = F.get_json_object(line, f"$['{key}']")
+    for i, key in enumerate(keys):
+        value = F.col(f"_key{i}")
+        raw = F.get_json_object(content, f"$['{key}']")
         named.append(F.when(_truthy(value), _spelled(value, raw)))
     strings = F.filter(
-        F.transform(entries, lambda e: F.when(_kind(e["value"]) == "STRING", _text_of(e["value"]))),
+        F.transform("_entries", lambda e: F.when(_kind(e["value"]) == "STRING", _text_of(e["value"]))),
         lambda s: F.length(strip(s)) > 0,
     )
     rest = (
@@ -97,13 +110,13 @@ def json_text(line: Column, keys: Sequence[str] = TEXT_KEYS, fallback: str = "fi
         if fallback == "first"
         else F.nullif(F.array_join(strings, " "), F.lit(""))
     )
-    other = F.when(valid & ~is_object, F.try_parse_json(line))
-    return (
-        F.when(F.length(line) == 0, F.lit(None))
-        .when(fields.isNotNull(), F.coalesce(*named, rest))
-        .when(other.isNotNull(), _spelled(other, line))
-        .otherwise(line)
+    result = (
+        F.when(F.length(content) == 0, F.lit(None))
+        .when(F.col("_entries").isNotNull(), F.coalesce(*named, rest))
+        .when(F.col("_other").isNotNull(), _spelled(F.col("_other"), content))
+        .otherwise(content)
     )
+    return found.select(*[F.col(f"`{c}`") for c in df.columns if c != text], result.alias(text))
 
 
 def row_text(df: DataFrame, keys: Sequence[str] = TEXT_KEYS, fallback: str = "join") -> Column:

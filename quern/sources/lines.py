@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.records import TEXT_KEYS, json_text
+from quern.functions.records import TEXT_KEYS, with_json_text
 from quern.functions.text import strip
 from quern.operators.ordering import TOP_K_ROWS
 from quern.sources.paths import exists
@@ -70,8 +70,8 @@ def read_jsonl(
         lines = raw_lines(spark, path)
     if max_lines is not None:
         lines = head_lines(lines, max_lines)
-    text = json_text(F.col("value"), keys, fallback)
-    return lines.select(*LINE_ORDER, text.alias("text")).filter(F.col("text").isNotNull())
+    texts = with_json_text(lines, "value", keys, fallback).select(*LINE_ORDER, "text")
+    return texts.filter(F.col("text").isNotNull())
 
 
 def read_word_list(
