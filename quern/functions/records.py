@@ -167,9 +167,11 @@ def joined_responses(body: Column, field: str = RESPONSE_KEY) -> Column:
     Lines that are not JSON, and values that are not strings, add nothing.
     """
 
-    def part(line: Column) -> Column:
-        clean = strip(line)
-        value = F.try_variant_get(F.try_parse_json(clean), f"$.{field}", "variant")
-        return F.when(is_json(clean) & (_kind(value) == "STRING"), _text_of(value))
-
-    return F.array_join(F.transform(F.split(body, LINE_ENDS), part), "")
+    # One step per transform: what a step makes is used more than once by the next.
+    lines = F.transform(F.split(body, LINE_ENDS), strip)
+    values = F.transform(
+        lines,
+        lambda line: F.when(is_json(line), F.try_variant_get(F.try_parse_json(line), f"$.{field}", "variant")),
+    )
+    texts = F.transform(values, lambda value: F.when(_kind(value) == "STRING", _text_of(value)))
+    return F.array_join(texts, "")

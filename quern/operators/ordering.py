@@ -110,15 +110,20 @@ def first_rows(
 
 
 def split_exact(
-    df: DataFrame, order: Sequence[str], test: float = 0.1, seed: int = 42
+    df: DataFrame,
+    order: Sequence[str],
+    test: float = 0.1,
+    seed: int = 42,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``split``: exactly ``ceil(test * rows)`` rows are ``test``, the others ``train``.
 
     ``order`` must identify the rows. Only the ids are read to find the cut; the rows themselves
-    are not shuffled.
+    are not shuffled. Where computing the rows is dear, a stored table of their ``ids`` saves
+    computing them for the cut.
     """
     key = shuffle_key(seed, *order)
-    cut = key_cut(df, key, F.ceil(F.lit(test) * F.col("_total")).cast("long"))
+    cut = key_cut(df if ids is None else ids, key, F.ceil(F.lit(test) * F.col("_total")).cast("long"))
     return df.withColumn("split", F.when(key <= cut, "test").otherwise("train"))
 
 

@@ -12,6 +12,7 @@ from quern.operators.encoding import VOCABULARY_SIZE, add_prefix, build_vocab, e
 from quern.operators.flagging import filter_banned
 from quern.operators.mixing import concat_sources
 from quern.operators.ordering import split_exact
+from quern.session import materialise
 
 TEST_SHARE = 0.1
 SEED = 42
@@ -44,14 +45,17 @@ def assemble_training(
 ) -> DataFrame:
     """Token arrays of all sources with ``split``; lengths allow for the instruction's words.
 
-    ``row_id`` is unique inside every source; with ``source_rank`` it identifies a row.
+    ``row_id`` is unique inside every source; with ``source_rank`` it identifies a row. The ids
+    of the kept rows are stored, so that cutting off the test rows reads no texts.
     """
     rows = select_training(dfs, banned, instruction, enabled)
     rows = rows.withColumn("_id", F.concat_ws("|", "source_rank", row_id))
     if vocab is None and tokenizer is None:
         vocab = build_vocab(rows, vocabulary_size)
     length = K.sequence_budget(prefix_tokens(instruction), max_length)
-    marked = split_exact(rows, ("source_rank", row_id), TEST_SHARE, seed)
+    place = ("source_rank", row_id)
+    ids = materialise(rows.select(*place), "ids")
+    marked = split_exact(rows, place, TEST_SHARE, seed, ids)
     return encode(marked, vocab, length, "copy", row_id="_id", tokenizer=tokenizer).drop("_id")
 
 

@@ -20,6 +20,7 @@ from quern.session import checkpoint_root
 from quern.sources import documents as document_files
 from quern.sources import lines as line_files
 from quern.sources import registry
+from quern.sources.paths import is_directory
 from quern.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -606,7 +607,11 @@ def prepared_mixture(spark, sf):
 def stream_flagged(spark, sf):
     """The documents as a stream, flagged by the batch operator."""
     docs = table(spark, sf, "documents")
-    stream = runs.stream_table(spark, sf, docs.schema, names="documents.parquet")
+    path = f"{sf}/documents.parquet"
+    if is_directory(spark, path):
+        stream = runs.stream_table(spark, path, docs.schema)
+    else:
+        stream = runs.stream_table(spark, sf, docs.schema, names="documents.parquet")
     output = scratch(spark, "stream")
     runs.run_available(
         stream,
