@@ -164,14 +164,20 @@ def pick_text(df: DataFrame, columns: Sequence[str] = TEXT_COLUMNS) -> Column:
 def joined_responses(body: Column, field: str = RESPONSE_KEY) -> Column:
     """Concatenate one string field over all lines of a stored NDJSON response.
 
-    Lines that are not JSON, and values that are not strings, add nothing.
+    Lines that are not JSON, that repeat a key, and values that are not strings, add nothing.
     """
 
-    # One step per transform: what a step makes is used more than once by the next.
-    lines = F.transform(F.split(body, LINE_ENDS), strip)
-    values = F.transform(
-        lines,
-        lambda line: F.when(is_json(line), F.try_variant_get(F.try_parse_json(line), f"$.{field}", "variant")),
+    # Inside an array with a closing zero, one parse gives the value and shows that nothing
+    # follows it. One step per transform, as a step's result is used more than once.
+    wrapped = F.transform(
+        F.split(body, LINE_ENDS),
+        lambda line: F.try_parse_json(F.concat(F.lit("["), strip(line), F.lit(",0]"))),
     )
+    alone = F.filter(
+        wrapped,
+        lambda w: (F.try_variant_get(w, "$[1]", "int") == 0)
+        & F.try_variant_get(w, "$[2]", "variant").isNull(),
+    )
+    values = F.transform(alone, lambda w: F.try_variant_get(w, f"$[0].{field}", "variant"))
     texts = F.transform(values, lambda value: F.when(_kind(value) == "STRING", _text_of(value)))
     return F.array_join(texts, "")
