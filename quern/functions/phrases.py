@@ -72,14 +72,17 @@ def counting_pattern(pattern: str, keywords: Sequence[str], window: int) -> tupl
 
     A match is found by a look-ahead, so the look-behind for keywords runs at matches only.
     Excused matches are consumed too, which keeps the later ones where a plain scan finds them.
+    The match is taken again by a case-sensitive back-reference: it is the very same text, and
+    the case-insensitive kind miscounts supplementary characters.
     """
     body = to_java(pattern)
     group = re.compile(pattern).groups + 2
     usable = [w for w in keywords if w and len(w) <= window]
+    again = "(?-i:\\1)"
     if not usable:
-        return f"{FLAGS}(?=({body}))(?:(\\1)|\\1)", group
+        return f"{FLAGS}(?=({body}))({again})", group
     behind = "|".join(f"{_keyword(w)}{_ANY}{{0,{window - len(w)}}}" for w in usable)
-    return f"{FLAGS}(?=({body}))(?:(?<!(?-i:{behind}))(\\1)|\\1)", group
+    return f"{FLAGS}(?=({body}))(?:(?<!(?-i:{behind}))({again})|{again})", group
 
 
 def counting_matches(
