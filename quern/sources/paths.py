@@ -6,11 +6,15 @@ from pyspark.sql import SparkSession
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    if not path:
+        return False
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
 def is_directory(spark: SparkSession, path: str) -> bool:
+    if not exists(spark, path):
+        return False
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(hadoop_path) and fs.getFileStatus(hadoop_path).isDirectory()
+    return fs.getFileStatus(hadoop_path).isDirectory()
