@@ -100,9 +100,16 @@ def first_rows(
     seed: int | None = None,
     top_k_rows: int = TOP_K_ROWS,
 ) -> DataFrame:
-    """The first ``n`` rows by ``order``, or by the seeded random order where a seed is given."""
-    if seed is None:
+    """The first ``n`` rows by ``order``, or by the seeded random order where a seed is given.
+
+    Spark's own top-k merges its ``n`` rows in one task. A larger ``n`` takes the numbered rows
+    of a distributed sort (which writes a table), or those up to the ``n``-th smallest key.
+    """
+    if seed is None and n <= top_k_rows:
         return df.orderBy(*order).limit(n)
+    if seed is None:
+        numbered = assign_seq(df, order, "_number")
+        return numbered.filter(F.col("_number") < n).drop("_number")
     if n <= top_k_rows:
         return shuffle_rows(df, order, seed).limit(n)
     cut = key_cut(df, shuffle_key(seed, *order), n)

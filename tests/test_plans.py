@@ -68,6 +68,16 @@ def test_build_corpus(spark, tmp_path, document_rows):
     ]
 
 
+def test_clean_copy_by_either_way(spark, documents, tmp_path):
+    path = str(tmp_path / "data")
+    documents.withColumnRenamed("doc_id", "seq").write.parquet(path)
+    copies = [
+        spark.read.parquet(corpus.sanitize(spark, path, POLICY, str(tmp_path / str(n)), broadcast_flagged=n).dataset)
+        for n in (0, 1000)
+    ]
+    assert copies[0].exceptAll(copies[1]).isEmpty() and copies[0].count() == copies[1].count() < 200
+
+
 def test_empty_folder_writes_nothing(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     done = corpus.build_corpus(spark, str(tmp_path / "docs"), str(tmp_path / "out"), POLICY)

@@ -55,6 +55,13 @@ def test_first_rows_by_either_way(documents, n):
         assert got == ids
 
 
+def test_first_rows_in_order(documents):
+    for limit in (1000, 0):
+        got = ordering.first_rows(documents.repartition(5), 37, ["doc_id"], top_k_rows=limit).collect()
+        assert sorted(r.doc_id for r in got) == list(range(37))
+        assert got[0].asDict().keys() == set(documents.columns)
+
+
 def test_exact_split(documents):
     for share in (0.1, 0.25, 0.0, 1.0):
         rows = ordering.split_exact(documents, ["doc_id"], share, seed=5).collect()
