@@ -36,12 +36,58 @@ def to_java(pattern: str) -> str:
     return re.sub(r"\(\?P<\w+>", "(", pattern).replace("\\Z", "\\z")
 
 
+def _alternatives(pattern: str) -> bool:
+    """Whether the pattern has a ``|`` outside all groups and classes."""
+    depth, in_class, at = 0, False, 0
+    while at < len(pattern):
+        char = pattern[at]
+        if char == "\\":
+            at += 1
+        elif in_class:
+            in_class = char != "]"
+        elif char == "[":
+            # A bracket right at the start of a class is a member of it.
+            in_class = True
+            at += len(re.match(r"\^?\]?", pattern[at + 1 :])[0])
+        elif char == "|" and depth == 0:
+            return True
+        else:
+            depth += (char == "(") - (char == ")")
+        at += 1
+    return False
+
+
+_HEAD = re.compile(r"(\\b|\\[^a-zA-Z0-9]|[a-zA-Z0-9 _-])(?![*+?{])")
+
+
+def _shared_heads(patterns: Sequence[str]) -> str:
+    """One expression that matches where any of the patterns does.
+
+    Patterns with the same first character or word boundary share it, and so on inside, so that
+    a position in the text is tried against few branches instead of every pattern.
+    """
+    groups: dict[str, list[str]] = {}
+    alone = []
+    for pattern in dict.fromkeys(patterns):
+        head = None if _alternatives(pattern) else _HEAD.match(pattern)
+        if head:
+            groups.setdefault(head[1].lower(), []).append(pattern[head.end() :])
+        else:
+            alone.append(f"(?:{pattern})" if pattern else "")
+    shared = [
+        head + (f"(?:{_shared_heads(rests)})" if len(rests) > 1 else rests[0])
+        for head, rests in groups.items()
+    ]
+    return "|".join(shared + alone)
+
+
 def any_pattern(patterns: Sequence[str]) -> str:
-    return FLAGS + "|".join(f"(?:{to_java(p)})" for p in patterns)
+    return FLAGS + _shared_heads([to_java(p) for p in patterns])
 
 
 def any_literal(phrases: Sequence[str]) -> str:
-    return FLAGS + "|".join(quote(p) for p in phrases)
+    """As a filter only: of several phrases at one place the shortest may be found."""
+    return FLAGS + _shared_heads([re.escape(p) for p in phrases])
 
 
 @functools.cache
@@ -151,7 +197,8 @@ def redact(text: Column, phrases: Sequence[str], token: str, mode: str = "sequen
     if not ordered:
         return text
     if mode == "single_pass":
-        return F.regexp_replace(text, F.lit(any_literal(ordered)), replacement)
+        longest_first = FLAGS + "|".join(quote(p) for p in ordered)
+        return F.regexp_replace(text, F.lit(longest_first), replacement)
     if mode != "sequential":
         raise ValueError(f"unknown mode: {mode!r}")
     for phrase in ordered:

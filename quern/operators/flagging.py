@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quern.functions import phrases as P
 from quern.functions import text as T
 
-# Up to this many words a byte search per word beats one pass of an automaton.
-CONTAINS_LIMIT = 64
+# Up to about this many words a byte search per word beats one pass of an automaton (measured).
+CONTAINS_LIMIT = 8
 
 
 def normalise(df: DataFrame, text: str = "text") -> DataFrame:

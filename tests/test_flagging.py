@@ -86,6 +86,23 @@ def test_unusable_patterns(pattern):
         P.to_java(pattern)
 
 
+def test_shared_heads_match_what_the_patterns_do(spark):
+    patterns = [
+        r"\bbad(?:ly)?\b", r"\bband\s+aid", r"\bba+r", r"ba?d", r"bad|worse", r"[]|]x", r"[^]|]yz", r"a\|b", r"(a|b)c",
+        r"\bBad thing", r"\.dot", r"\\back", r"c{2}d", r"\d\d", r"é+x", r"-dash", r"worse", r"a\ b", r"\bb\b",
+    ]
+    rng = random.Random(5)
+    pieces = ["bad", "ly", "band", " ", "aid", "baar", "bd", "worse", "]", "|", "x", "yz", "a", "b", "c", "cc", "d", ".dot", "\\back", "12", "éé", "-dash", "thing", "\n", "😀"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 6))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq int, text string")
+    for some in [patterns, *[rng.sample(patterns, 4) for _ in range(12)], *[[p] for p in patterns]]:
+        got = {r.seq for r in df.filter(df.text.rlike(P.any_pattern(some))).collect()}
+        assert got == {i for i, t in enumerate(texts) if any(re.search(p, t, re.IGNORECASE) for p in some)}
+    literals = ["bad", "ba", "b|a", "a b", "[]", ".dot", "\\back", "\n", "-d"]
+    got = {r.seq for r in df.filter(df.text.rlike(P.any_literal(literals))).collect()}
+    assert got == {i for i, t in enumerate(texts) if any(x in t.lower() for x in literals)}
+
+
 def test_empty_policy(spark):
     assert _flag(spark, ["a"], [], ["x"]) == [[]]
     assert _flag(spark, ["bad"], ["bad"], [""]) == [[]]
