@@ -22,7 +22,8 @@ from quern.schemas import DOCUMENTS
 # One row cannot hold more; larger files are listed by ``oversized``.
 MAX_FILE_BYTES = 2_000_000_000
 TEXT_HEADER = "text"
-BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+# Bytes of the mark; a file whose last line has no end is one byte shorter than its lines.
+BYTE_ORDER_MARK = 3
 
 
 def _glob(suffix: str) -> str:
@@ -68,30 +69,26 @@ def _csv_layout(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     header in order. A file starting with a byte-order mark has it as part of its first header.
     The row width is the largest number of commas in any line, so it needs an action.
     """
-    options = {"pathGlobFilter": _glob("csv")}
-    lines = spark.read.text(path, **options).select(
+    lines = spark.read.text(path, lineSep="\n", pathGlobFilter=_glob("csv")).select(
         F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
         "value",
     )
-    width = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","))))).first()[0]
-    width = (width or 0) + 1
-    names = [f"c{i}" for i in range(width)]
-    first = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "row")).alias("first"))
-    marks = (
-        spark.read.format("binaryFile")
-        .options(**options)
-        .load(path)
-        .filter(F.col("length") <= MAX_FILE_BYTES)
-        .select(F.col("path"), (F.substring("content", 1, 3) == F.lit(BYTE_ORDER_MARK)).alias("marked"))
+    commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
+    # Files may end their lines with a carriage return only.
+    pieces = F.transform(
+        F.split("value", "\r"), lambda piece: F.length(piece) - F.length(F.replace(piece, F.lit(",")))
     )
-    # The two readers spell local paths differently.
-    tail = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    heads = (
-        first.withColumn("_tail", tail)
-        .join(marks.select(tail.alias("_tail"), "marked"), "_tail", "left")
-        .withColumn("marked", F.coalesce("marked", F.lit(False)))
+    most = F.when(F.instr("value", "\r").between(1, F.length("value") - 1), F.array_max(pieces)).otherwise(commas)
+    width = (lines.agg(F.max(most)).first()[0] or 0) + 1
+    names = [f"c{i}" for i in range(width)]
+    # The line reader drops a byte-order mark, so the file is longer than its lines.
+    spare = F.max("size") - F.sum(F.octet_length("value") + 1)
+    heads = lines.groupBy("path").agg(
+        F.substring_index(F.min_by("value", F.struct("block", "row")), "\r", 1).alias("first"),
+        (spare >= BYTE_ORDER_MARK - 1).alias("marked"),
     )
     parsed = F.from_csv("first", ", ".join(f"{n} string" for n in names), {"escape": '"'})
     found = F.array(*[parsed[n] for n in names])

@@ -36,8 +36,20 @@ def test_csv_without_header(spark, tmp_path):
 
 
 def test_csv_byte_order_mark_hides_the_text_header(spark, tmp_path):
-    write(tmp_path, "a.csv", b"\xef\xbb\xbftext,b\n1,2\n")
-    assert texts(D.read_csv_documents(spark, str(tmp_path))) == ["1 | 2"]
+    mark = b"\xef\xbb\xbf"
+    write(tmp_path, "a.csv", mark + b"text,b\n1,2\n")
+    write(tmp_path, "b.csv", mark + b"text,b\r\n3,4")
+    write(tmp_path, "c.csv", b"text,b\r\n5,6")
+    write(tmp_path, "d.csv", b"text,b\n7,8")
+    write(tmp_path, "e.csv", mark + b"b,text\n9,10\n")
+    assert texts(D.read_csv_documents(spark, str(tmp_path))) == ["1 | 2", "3 | 4", "5", "7", "10"]
+
+
+def test_csv_line_ends(spark, tmp_path):
+    write(tmp_path, "a.csv", b"n,text\r\n1,a\r\n\r\n2,b\r\n")
+    write(tmp_path, "b.csv", b"n,text\r1,c\r2,d\r")
+    write(tmp_path, "c.csv", b"\r\nx,y\r\n")
+    assert texts(D.read_csv_documents(spark, str(tmp_path))) == ["a", "b", "c", "d", "x | y"]
 
 
 def test_csv_repeated_headers(spark, tmp_path):
