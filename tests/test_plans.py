@@ -7,7 +7,7 @@ import pytest
 from plain import counting_matches, excerpt, first_occurrences
 from quern import sinks
 from quern.operators import validation
-from quern.plans import corpus, mixture
+from quern.plans import checks, corpus, mixture
 from quern.sources.registry import SourceRegistry, SourceSpec
 
 POLICY = corpus.Policy((r"licen[cs]e[ds]?", r"all rights reserved"), ("from",))
@@ -155,6 +155,10 @@ def test_validation(spark, documents, tmp_path):
     (tmp_path / "odd").mkdir()
     (tmp_path / "odd" / "x.parquet").write_text("no table")
     assert set(validation.validate(spark, str(tmp_path / "odd")).errors) == {"load"}
+    out = tmp_path / "meta"
+    assert not checks.record_validation(spark, path, str(out), ["summary"]).valid and not out.exists()
+    assert checks.record_validation(spark, path, str(out), ["text"]).valid
+    assert read_json_parts(out) == [{"length": 200, "columns": documents.columns}]
     report = {r.check: r for r in validation.validation_report(documents, ["summary"], 201).collect()}
     assert report["size"].message == bad.errors["size"] and not report["size"].ok
     assert "summary" in report["columns"].message
