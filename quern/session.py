@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -26,13 +27,15 @@ def local_session(cores: str = "*", name: str = "quern", **conf: str) -> SparkSe
     return spark
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="quern-")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
