@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import language_id
+from quern.llm import language_id, near_dedup
 from quern.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,10 @@ def op1_language_id(spark, sf_dir):
     model = language_id.learn(part.where("fold <> 2"))
     found = language_id.identify(part.select("doc_id", (part.fold == 2).alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "langs", "shares")
+
+
+@query
+def op3_minhash_near_dedup(spark, sf_dir):
+    """Classes of documents whose five-word shingles are similar to 0.8 or more."""
+    found = near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size", "n_links", "kept")
