@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import language_id, near_dedup
+from quern.llm import language_id, mixing, near_dedup
 from quern.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,13 @@ def op3_minhash_near_dedup(spark, sf_dir):
     """Classes of documents whose five-word shingles are similar to 0.8 or more."""
     found = near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
+@query
+def op2_source_mix(spark, sf_dir):
+    """The whole table as one mix of as many words as it has."""
+    found = mixing.shares(documents(spark, sf_dir))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op2_source_mix"] = mixing.ORACLE
