@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import language_id, mixing, near_dedup
+from quern.llm import decontamination, language_id, mixing, near_dedup
 from quern.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,11 @@ def op2_source_mix(spark, sf_dir):
 
 
 SQL["op2_source_mix"] = mixing.ORACLE
+
+
+@query
+def op6_benchmark_leaks(spark, sf_dir):
+    """Documents with the benchmark items that stand in them, with the same or other values."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.leaks(documents(spark, sf_dir), benchmark)
+    return found.select("doc_id", "item_id", "n_tokens", "n_item_tokens", "n_slots", "n_changed")
