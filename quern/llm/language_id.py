@@ -141,8 +141,10 @@ def infer(buckets: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return chosen[by_share], shares[by_share]
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """All columns of ``docs`` except the text's, then lang_pred, score, langs and shares.
+def identify(
+    docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep_text: bool = False
+) -> DataFrame:
+    """All columns of ``docs``, the text's only if asked for, then lang_pred, score, langs and shares.
 
     ``lang_pred`` is the language with the largest proportion, ``score`` that proportion. A text that is
     null or has no letter, and any text where no language could be learned, is ``und`` with score 0.
@@ -150,7 +152,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     """
     names, table = model
     sent = docs.sparkSession.sparkContext.broadcast((names, table))
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if keep_text or c != text]
+    at = kept.index(text) if keep_text else len(kept)
     new = [unused(docs, c) for c in ("lang_pred", "score", "langs", "shares")]
     schema = docs.select(*kept).schema
     for name, kind in zip(new, ("string", "double", "string", "string"), strict=True):
@@ -159,7 +162,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, logs = sent.value
         for batch in batches:
-            texts = batch.column(len(kept))
+            texts = batch.column(at)
             letters = pc.fill_null(pc.match_substring_regex(texts, LETTER), False).to_pylist()
             found = []
             for has, buckets in zip(letters, grams(texts), strict=True):
@@ -179,7 +182,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
                 names=[*kept, *new],
             )
 
-    return docs.select(*kept, text).mapInArrow(run, schema)
+    return docs.select(*kept, *([] if keep_text else [text])).mapInArrow(run, schema)
 
 
 def has_letter(text: Column | str) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import decontamination, language_id, mixing, near_dedup
+from quern.llm import decontamination, language_id, mixing, near_dedup, sharding
 from quern.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +53,11 @@ def op6_benchmark_leaks(spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.leaks(documents(spark, sf_dir), benchmark)
     return found.select("doc_id", "item_id", "n_tokens", "n_item_tokens", "n_slots", "n_changed")
+
+
+@query
+def op10_minimax_shards(spark, sf_dir):
+    """40 shards of nearly equal bytes, equal texts together."""
+    found = sharding.assign(documents(spark, sf_dir))
+    none = F.lit(None).cast("int")
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none.alias("grown_shard"))
