@@ -11,7 +11,8 @@ drawn, and more for texts that still lack a coordinate, so the cost is the text'
 
 Texts of equal words are one node. Bands of the signatures join the nodes into buckets. Within a bucket
 all nodes are first held against one pivot; nodes that this leaves in other components are held against
-all nodes of other components in blocks of bounded size. Every link is verified exactly on the shingles.
+all nodes of other components in blocks of bounded size, whose links join components only. Every link is
+verified exactly on the shingles.
 Classes are the connected components of the links, found by alternating star contractions.
 """
 
@@ -35,7 +36,7 @@ BANDS, ROWS = 24, 5
 K = BANDS * ROWS
 # Signatures of texts at SIMILAR agree in less than this part of the coordinates once in a million.
 AGREE = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / K) ** 0.5
-BLOCK = 1000
+BLOCK = 500
 
 _PLACES = np.array([int.from_bytes(hashlib.sha256(f"place {i}".encode()).digest()[:8], "little") | 1 for i in range(WORDS)], dtype=U64)
 _STEP, _CELL, _DART = (U64(int.from_bytes(hashlib.sha256(x).digest()[:8], "little") | 1) for x in (b"step", b"cell", b"dart"))
@@ -189,18 +190,23 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(value, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, label: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose exact similarity reaches SIMILAR."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(wanted: DataFrame, signed: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """(node, shingles, weights) for the nodes ``wanted``."""
     places = signed.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("of"), F.col("text_hash").alias("by"))
-    # A repeated row would come twice; its texts are equal, so any of them will do.
     texts = keyed(docs).join(places, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("by")))
-    sets = materialise(texts.select("node", "text").mapInArrow(_shingled, "node long, shingles binary, weights binary"), f"{label}-sets")
+    texts = texts.select("node", "text").mapInArrow(_shingled, "node long, shingles binary, weights binary")
+    return materialise(texts, f"{label}-sets")
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose exact similarity reaches SIMILAR."""
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    sets = _sets(wanted, signed, docs, "star")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb")
     measured = joined.mapInArrow(_measured, "a long, b long, similarity double")
-    return materialise(measured.where(F.col("similarity") >= SIMILAR).select("a", "b", "similarity").distinct(), f"{label}-links")
+    return materialise(measured.where(F.col("similarity") >= SIMILAR).select("a", "b", "similarity").distinct(), "star-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -231,47 +237,89 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(roots)
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a unit's nodes of different components whose signatures agree enough.
-
-    Rows come sorted by unit; a unit has at most two blocks and may run over several batches.
-    """
-
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        node = np.array([r[1] for r in rows])
-        part = np.array([r[2] for r in rows])
-        side = np.array([r[3] for r in rows])
-        signs = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), K)
-        a, b = [], []
-        two = len(set(side)) > 1
-        for i in np.flatnonzero(side == side.min()) if two else range(len(rows)):
-            others = np.flatnonzero((part != part[i]) & ((side != side[i]) if two else (node > node[i])))
-            if len(others):
-                near = others[(signs[others] == signs[i]).sum(axis=1) >= AGREE * K]
-                a.extend([node[i]] * len(near))
-                b.extend(node[near])
-        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        a, b = pairs(rows)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    held: list[tuple] = []
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """Rows of one unit after another; rows come sorted by unit, which may run over several batches."""
+    held: dict[str, list] = {}
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][0] != row[0]:
-                yield out(held)
-                held = []
-            held.append(row)
+        if not batch.num_rows:
+            continue
+        columns = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+        unit = np.array(columns["unit"])
+        borders = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1), len(unit)]
+        for x, y in zip(borders[:-1], borders[1:], strict=True):
+            if held and held["unit"][0] != unit[x]:
+                yield held
+                held = {}
+            for name, values in columns.items():
+                held.setdefault(name, []).extend(values[x:y])
     if held:
-        yield out(held)
+        yield held
 
 
-def _left_pairs(shared: DataFrame, classes: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs that share a bucket, lie in different components and have similar signatures.
+def _agreeing(unit: dict[str, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, agreeing coordinates) of a unit's rows of different components with similar signatures."""
+    part, side = np.array(unit["class"]), np.array(unit["side"])
+    signs = np.frombuffer(b"".join(unit["sign"]), np.uint16).reshape(len(part), K)
+    two = side.min() != side.max()
+    found = []
+    for i in np.flatnonzero(side == side.min()) if two else range(len(part)):
+        others = np.flatnonzero((part != part[i]) & ((side != side[i]) if two else (np.arange(len(part)) > i)))
+        if len(others):
+            equal = (signs[others] == signs[i]).sum(axis=1)
+            near = equal >= AGREE * K
+            found.append((np.full(near.sum(), i), others[near], equal[near]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of units that agree with any row of another component."""
+    for unit in _units(batches):
+        i, j, _ = _agreeing(unit)
+        rows = np.union1d(i, j)
+        if len(rows):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([unit[c][r] for r in rows], t) for c, t in _UNIT.items()], names=list(_UNIT)
+            )
+
+
+_UNIT = {"unit": pa.int64(), "node": pa.int64(), "class": pa.int64(), "side": pa.int32(), "sign": pa.binary()}
 
-    The pivot's component in a bucket needs no pairs within itself. The other rows are cut into blocks and
-    held against each other and against blocks of the pivot's component.
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact links that join the components of each unit: at most one for each row.
+
+    The most similar signatures go first. A pair whose components are joined by then needs no check.
+    """
+    for unit in _units(batches):
+        i, j, equal = _agreeing(unit)
+        root = {c: c for c in unit["class"]}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        sets = [(np.frombuffer(s, U64), np.frombuffer(w, np.float32)) for s, w in zip(unit["shingles"], unit["weights"], strict=True)]
+        a, b, value = [], [], []
+        for x in np.argsort(-equal, kind="stable"):
+            p, q = int(i[x]), int(j[x])
+            c, d = find(unit["class"][p]), find(unit["class"][q])
+            if c != d and (similarity := weighted_jaccard(*sets[p], *sets[q])) >= SIMILAR:
+                root[c] = d
+                a.append(unit["node"][p])
+                b.append(unit["node"][q])
+                value.append(similarity)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(value)], names=["a", "b", "similarity"])
+
+
+def _left_links(shared: DataFrame, classes: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between rows of a bucket that lie in different components.
+
+    The pivot's component in a bucket needs no links within itself. The other rows are cut into blocks and
+    held against each other and against blocks of the pivot's component. Shingles are
+    fetched only for rows whose signatures agree with one of another component.
     """
     at = classes.select(F.col("node").alias("pivot"), F.col("class").alias("pivot_class"))
     rows = shared.join(classes, "node", "left").join(at, "pivot", "left")
@@ -305,15 +353,20 @@ def _left_pairs(shared: DataFrame, classes: DataFrame, signed: DataFrame) -> Dat
     units = units.join(signed.select("node", "sign"), "node")
     units = units.select(F.xxhash64("key", "kind", "i", "j").alias("unit"), "node", "class", "side", "sign")
     units = units.repartition("unit").sortWithinPartitions("unit")
-    return units.mapInArrow(_compared, "a long, b long").distinct()
+    units = units.mapInArrow(_promising, "unit long, node long, class long, side int, sign binary")
+    units = materialise(units, "units")
+    sets = _sets(units.select("node").distinct(), signed, docs, "unit")
+    rows = units.join(sets, "node").repartition("unit").sortWithinPartitions("unit")
+    rows = rows.select("unit", "node", "class", "side", "sign", "shingles", "weights")
+    return materialise(rows.mapInArrow(_linked, "a long, b long, similarity double"), "unit-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, text_hash, class_id, class_size, n_links, kept.
+    """One row for each row of ``docs``: doc_id, text_hash, class_id, class_size, kept.
 
     ``class_id`` is the smallest doc_id of the class, whose row stays; of repeated rows with that id one
-    stays. ``n_links`` counts the verified links of the row's words to other words in the class. Rows whose text is
-    null or has no words are alone, and rows without an id come after those with one.
+    stays. Rows whose text is null or has no words are alone, and rows without an id come after those
+    with one.
     """
     signed = keyed(docs).mapInArrow(_sign, _SIGNED).withColumn("row", F.monotonically_increasing_id())
     signed = materialise(signed, "signed")
@@ -329,20 +382,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = materialise(
         shared.where("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(), "pairs"
     )
-    links = _verified(pairs, lead, docs, "star")
+    once = docs.select("doc_id", "text").dropDuplicates() if _repeats(signed) else docs
+    links = _verified(pairs, lead, once)
     classes = materialise(components(links), "classes")
-    more = _left_pairs(shared, classes, lead)
-    more = materialise(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    more = _left_links(shared, classes, lead, once)
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, lead, docs, "rest"))
-        classes = materialise(components(links), "all-classes")
+        classes = materialise(components(links.unionByName(more)), "all-classes")
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_words = nodes.join(classes, "node", "left").join(degree, "node", "left")
-    of_words = of_words.select("digest", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    of_words = nodes.join(classes, "node", "left").select("digest", F.coalesce("class", "node").alias("class"))
     of_words = materialise(of_words, "of-words")
     rows = signed.select("row", "doc_id", "text_hash", "digest").join(of_words, "digest", "left")
-    rows = rows.select("row", "doc_id", "text_hash", F.coalesce("class", "row").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = rows.select("row", "doc_id", "text_hash", F.coalesce("class", "row").alias("class"))
     rows = materialise(rows, "rows")
     first = rows.groupBy("class").agg(
         F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
@@ -350,7 +400,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = materialise(first.select("class", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("stays")), "first")
     # Classes of several rows need the join; the class of a single row is known from the row itself.
     return rows.join(first, "class").select(
-        "doc_id", "text_hash", "class_id", "class_size", "n_links", (F.col("row") == F.col("stays")).alias("kept")
+        "doc_id", "text_hash", "class_id", "class_size", (F.col("row") == F.col("stays")).alias("kept")
     )
 
 
@@ -361,10 +411,10 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     keep = found.select(F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])).distinct()
     hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep[names[0]]) & (hashed == keep[names[1]]), "left_semi")
-    # Only repeated rows, equal in id and text, can still be several.
-    again = found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return rows if again and _unique_ids(docs) else rows.dropDuplicates(["doc_id", "text"])
+    # Repeated rows, equal in id and text, are still several.
+    return rows.dropDuplicates(["doc_id", "text"]) if _repeats(docs) else rows
 
 
-def _unique_ids(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+def _repeats(docs: DataFrame) -> bool:
+    """Whether ids repeat; reads ids only."""
+    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()

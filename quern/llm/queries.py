@@ -34,7 +34,7 @@ def op1_language_id(spark, sf_dir):
 def op3_minhash_near_dedup(spark, sf_dir):
     """Classes of documents whose five-word shingles are similar to 0.8 or more."""
     found = near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "class_id", "class_size", "n_links", "kept")
+    return found.select("doc_id", "class_id", "class_size", "kept")
 
 
 @query
