@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, language_id, mixing, near_dedup, sharding
+from quern.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, sharding
 from quern.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,13 @@ def op10_minimax_shards(spark, sf_dir):
     found = sharding.assign(documents(spark, sf_dir))
     none = F.lit(None).cast("int")
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none.alias("grown_shard"))
+
+
+@query
+def op8_exact_dedup(spark, sf_dir):
+    """All documents against a new index."""
+    index = exact_dedup.DigestIndex(spark, exact_dedup.new_index_path(spark))
+    return exact_dedup.ingest(documents(spark, sf_dir), index)
+
+
+SQL["op8_exact_dedup"] = exact_dedup.ORACLE
