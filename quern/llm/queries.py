@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, sharding
+from quern.llm import decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, sharding
 from quern.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,9 @@ def op8_exact_dedup(spark, sf_dir):
 
 
 SQL["op8_exact_dedup"] = exact_dedup.ORACLE
+
+
+@query
+def op9_license_scan(spark, sf_dir):
+    """Phrases, tags and labels of every document."""
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
