@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, sharding
+from quern.llm import decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, sharding, token_files
 from quern.llm.common import documents, fold
+from quern.session import checkpoint_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +79,14 @@ SQL["op8_exact_dedup"] = exact_dedup.ORACLE
 def op9_license_scan(spark, sf_dir):
     """Phrases, tags and labels of every document."""
     return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op5_token_files(spark, sf_dir):
+    """Written to files and read back from them."""
+    import public_tokenizers
+
+    folder = f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), folder)
+    found = token_files.read_tokens(spark, folder)
+    return found.mapInArrow(token_files.crc32, "doc_id long, start long, n_tokens long, ids_crc32 long")
