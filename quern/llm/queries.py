@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, sharding, token_files
+from quern.llm import decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, quality, sharding, token_files
 from quern.llm.common import documents, fold
 from quern.session import checkpoint_root
 
@@ -90,3 +90,13 @@ def op5_token_files(spark, sf_dir):
     token_files.write_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), folder)
     found = token_files.read_tokens(spark, folder)
     return found.mapInArrow(token_files.crc32, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+@query
+def op7_quality(spark, sf_dir):
+    """Fold 1 of 3 is held out of learning; every text is scored by its bytes alone."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", fold("doc_id", 3).alias("fold"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 3) != 1)
+    model = quality.learn(docs.where("fold <> 1"), labels)
+    found = quality.score(docs.select("doc_id", (docs.fold == 1).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
