@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, quality, sharding, token_files
+from quern.llm import decontamination, exact_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, quality, sharding, token_files
 from quern.llm.common import documents, fold
 from quern.session import checkpoint_root
 
@@ -100,3 +100,14 @@ def op7_quality(spark, sf_dir):
     model = quality.learn(docs.where("fold <> 1"), labels)
     found = quality.score(docs.select("doc_id", (docs.fold == 1).alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op4_lattice_score(spark, sf_dir):
+    """Fold 1 of 5 is held out of learning; every text is scored."""
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", fold("doc_id", 5).alias("fold"))
+    held_out = F.col("fold") == 1
+    model = lattice_lm.learn(docs, held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice_lm.score(docs, held_out, model)
