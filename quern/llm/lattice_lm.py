@@ -225,12 +225,16 @@ class Model:
     discount: float
 
     def base(self, n: np.ndarray) -> np.ndarray:
-        return np.log10((n + 0.5) / (self.n_tokens + 0.5 * (self.n_words + 1)))
+        return base(n, self.n_tokens, self.n_words)
 
     def end(self) -> float:
         return float(whole(np.array([float(self.n_ends)]), np.log([self.lattice.end]), self.n_tokens, self.n_words, self.discount)[0])
 
 
+def base(n: np.ndarray, n_tokens: int, n_words: int) -> np.ndarray:
+    return np.log10((n + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
+
+
 def whole(n: np.ndarray, logs: np.ndarray, n_tokens: int, n_words: int, discount: float) -> np.ndarray:
     """log10 probabilities of tokens with counts ``n``: as one piece, or in pieces with natural log probabilities ``logs``."""
     if not n_tokens:
@@ -294,7 +298,7 @@ def learn(docs: DataFrame, held_out: Column, vocabulary_path: str, rounds: int =
 def score(docs: DataFrame, held_out: Column, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
-    Null texts count as empty: their only token is the end.
+    Null texts count as empty: their only token is the end. The texts need not be those of ``learn``.
     """
     hot = model.words.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("total"), "word").limit(HOT_WORDS)
     hot = hot.select("word", "n", "log").toArrow()
@@ -303,7 +307,7 @@ def score(docs: DataFrame, held_out: Column, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((table, model.base(n.astype(float)), n > 0, hot.column(2).to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, base, known, logs = sent.value
+        table, bases, known, logs = sent.value
         for batch in _rows_at_once(batches, 512):
             out = {c: [] for c in ("n_tokens", "n_known", "base", "log", "rest", "times")}
             for text in pc.cast(batch.column(2), pa.binary()):
@@ -313,7 +317,7 @@ def score(docs: DataFrame, held_out: Column, model: Model) -> DataFrame:
                 rest = Counter(w for w, i in zip(words, at, strict=True) if i < 0) if len(hit) < len(words) else {}
                 out["n_tokens"].append(len(words) + 1)
                 out["n_known"].append(int(known[hit].sum()))
-                out["base"].append(float(base[hit].sum()))
+                out["base"].append(float(bases[hit].sum()))
                 out["log"].append(float(logs[hit].sum()))
                 out["rest"].append(list(rest))
                 out["times"].append(list(rest.values()))
@@ -327,11 +331,28 @@ def score(docs: DataFrame, held_out: Column, model: Model) -> DataFrame:
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, log double, rest array<binary>, times array<long>"
     rows = materialise(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     rest = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), "x.times")
-    below = model.n_tokens + 0.5 * (model.n_words + 1)
-    counted = rest.join(model.words.select("word", "n", "log"), "word").groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / below)).alias("more_base"),
-        F.sum(F.col("times") * F.col("log")).alias("more_log"),
+    lattice = docs.sparkSession.sparkContext.broadcast(model.lattice)
+    totals = (model.n_tokens, model.n_words, model.discount)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, known, base, log) of the joined words; words that no text of the corpus has get their lattice's value here."""
+        recursion = None
+        for batch in _rows_at_once(batches, 20_000):
+            n = pc.fill_null(batch.column(3), 0).to_numpy(zero_copy_only=False).astype(float)
+            logs = batch.column(4).to_numpy(zero_copy_only=False).copy()
+            new = np.flatnonzero(np.isnan(logs))
+            if len(new):
+                recursion = recursion or Recursion(lattice.value)
+                logs[new] = whole(n[new], recursion.run(batch.column(1).take(pa.array(new)).to_pylist())[0], *totals)
+            times = batch.column(2).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(times * (n > 0)), pa.array(times * base(n, *totals[:2])), pa.array(times * logs)],
+                names=["row", "known", "base", "log"],
+            )
+
+    joined = rest.join(model.words.select("word", "n", "log"), "word", "left").select("row", "word", "times", "n", "log")
+    counted = joined.mapInArrow(fill, "row long, known long, base double, log double").groupBy("row").agg(
+        F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("log").alias("more_log")
     )
     end_base = float(model.base(np.array(float(model.n_ends))))
     zero = F.lit(0.0)
