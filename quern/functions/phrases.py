@@ -186,6 +186,11 @@ def literal_hits(text: Column, phrase: str) -> Column:
     )
 
 
+def literal_count(text: Column, phrase: str) -> Column:
+    """How often ``phrase`` occurs, ignoring case."""
+    return F.size(F.split(text, FLAGS + quote(phrase), -1)) - 1
+
+
 def redact(text: Column, phrases: Sequence[str], token: str, mode: str = "sequential") -> Column:
     """Replace phrases, longest first.
 

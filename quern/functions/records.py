@@ -164,20 +164,17 @@ def pick_text(df: DataFrame, columns: Sequence[str] = TEXT_COLUMNS) -> Column:
 def joined_responses(body: Column, field: str = RESPONSE_KEY) -> Column:
     """Concatenate one string field over all lines of a stored NDJSON response.
 
-    Lines that are not JSON, that repeat a key, and values that are not strings, add nothing.
+    Of a repeated key the last value counts. Lines that are no JSON object and values that are not strings add
+    nothing.
     """
-
-    # Inside an array with a closing zero, one parse gives the value and shows that nothing
-    # follows it. One step per transform, as a step's result is used more than once.
-    wrapped = F.transform(
-        F.split(body, LINE_ENDS),
-        lambda line: F.try_parse_json(F.concat(F.lit("["), strip(line), F.lit(",0]"))),
+    kind = T.MapType(T.StringType(), T.VariantType())
+    # A line that does not end with a brace has more after its object or is none.
+    lines = F.filter(
+        F.transform(F.split(body, LINE_ENDS), strip), lambda line: line.startswith("{") & line.endswith("}")
     )
-    alone = F.filter(
-        wrapped,
-        lambda w: (F.try_variant_get(w, "$[1]", "int") == 0)
-        & F.try_variant_get(w, "$[2]", "variant").isNull(),
+    entries = F.transform(
+        lines, lambda line: F.when(is_json(line), F.map_entries(F.from_json(line, kind, _STRICT)))
     )
-    values = F.transform(alone, lambda w: F.try_variant_get(w, f"$[0].{field}", "variant"))
+    values = F.transform(entries, lambda found: _last_value(found, field))
     texts = F.transform(values, lambda value: F.when(_kind(value) == "STRING", _text_of(value)))
     return F.array_join(texts, "")

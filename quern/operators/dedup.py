@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,15 +11,25 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 
 
-def dedup_exact(df: DataFrame, text: str = "text", order: Sequence[str] = ("seq",)) -> DataFrame:
+def dedup_exact(
+    df: DataFrame, text: str = "text", order: Sequence[str] = ("seq",), carry: bool = False
+) -> DataFrame:
     """The first row, by ``order``, of every distinct text; null text counts as one value.
 
-    Rows meet on a digest, not on the text. The survivor is an aggregate, so each map task sends
-    at most one row per text however many copies there are.
+    ``order`` must identify the rows. Only digests and order columns are aggregated, so each map task sends at
+    most one short row per text however many copies there are; the survivors then pick their rows, for which
+    ``df`` is computed twice. With ``carry`` whole rows are aggregated in one pass, which suits few rows that are dear
+    to compute.
     """
-    rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    first = F.min_by(F.struct(*df.columns), rank)
-    return df.groupBy(F.sha2(text, 256).alias("_digest")).agg(first.alias("_row")).select("_row.*")
+    if carry:
+        place = F.struct(*order) if len(order) > 1 else F.col(order[0])
+        first = F.min_by(F.struct(*df.columns), place)
+        return df.groupBy(F.sha2(text, 256).alias("_digest")).agg(first.alias("_row")).select("_row.*")
+    rank = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
+    firsts = df.groupBy(F.sha2(text, 256).alias("_digest")).agg(F.min(rank).alias("_first"))
+    firsts = firsts.select([F.col(f"_first._{i}").alias(f"_key{i}") for i in range(len(order))])
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(firsts[f"_key{i}"]) for i, c in enumerate(order)])
+    return df.join(firsts, same, "left_semi")
 
 
 def dedup_report(df: DataFrame, key: str, order: str = "seq", lower: bool = False) -> DataFrame:

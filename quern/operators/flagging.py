@@ -112,11 +112,17 @@ def scan_phrases(df: DataFrame, phrases: Sequence[str], text: str = "text") -> D
     return rows.select(*others, F.inline(hits))
 
 
-def phrase_summary(hits: DataFrame) -> DataFrame:
-    """Matches per phrase; partial sums are built before the shuffle, so a hot phrase is cheap."""
-    return hits.groupBy("phrase").agg(
-        F.count("*").alias("matches"), F.max("severity").alias("severity")
+def phrase_summary(df: DataFrame, phrases: Sequence[str], text: str = "text") -> DataFrame:
+    """Matches and severity per phrase that occurs; counts the gaps between matches and builds no offsets."""
+    used = [p for p in dict.fromkeys(phrases) if p]
+    if not used:
+        return df.select(F.lit("").alias("phrase"), F.lit(0).cast("long").alias("matches"), F.lit(0).alias("severity")).limit(0)
+    rows = df.filter(F.col(text).rlike(P.any_literal(used)))
+    counts = rows.agg(*[F.sum(P.literal_count(F.col(text), p)).alias(f"n{i}") for i, p in enumerate(used)])
+    listed = F.array(
+        *[F.struct(F.lit(p).alias("phrase"), F.col(f"n{i}").cast("long").alias("matches"), F.lit(P.severity(p)).alias("severity")) for i, p in enumerate(used)]
     )
+    return counts.select(F.inline(listed)).filter("matches > 0")
 
 
 def redact(

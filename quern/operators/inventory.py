@@ -1,7 +1,7 @@
 """Analytics over file listings: sizes, move plans, format flags and snapshot states.
 
 A listing has one row per file with the folder it was found under (``root``), its path relative
-to that folder (``path``) and its ``length``; ``list_files`` makes one.
+to that folder (``path``) and its ``length``; ``list_files`` makes one. For sizes of entries ``list_entries`` will do.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.paths import entry_lengths, file_lengths
+
+LISTING = "root string, category string, path string, length long"
+
 # Format markers, and the file names that mark an unfinished download.
 FORMAT_SUFFIXES = {"gguf": ".gguf", "ggml": ".ggml", "safetensors": ".safetensors"}
 FORMAT_WORDS = {"gptq": "gptq"}
@@ -20,22 +24,24 @@ NESTED_MARKERS = (".partial", ".incomplete", ".lock", ".tmp")
 DOWNLOAD_MARKERS = (".partial", ".lock", ".tmp")
 
 
+def list_entries(spark: SparkSession, roots: Mapping[str, str]) -> DataFrame:
+    """The entries of folders given as path -> category, each as one row of all its bytes.
+
+    The file system sums up every entry, so hidden files count and empty entries are listed. The driver makes one
+    call per entry of a root and holds their names only.
+    """
+    rows = [
+        (root, category, name, length) for root, category in roots.items() for name, length in entry_lengths(spark, root)
+    ]
+    return spark.createDataFrame(rows, LISTING)
+
+
 def list_files(spark: SparkSession, roots: Mapping[str, str]) -> DataFrame:
-    """Listing of folders given as path -> category; reads names and sizes, no content."""
-    parts = []
-    for root, category in roots.items():
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        full = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-        base = "/" + root.split(":", 1)[-1].strip("/") + "/"
-        parts.append(
-            files.select(
-                F.lit(root).alias("root"),
-                F.lit(category).alias("category"),
-                F.substr(full, F.lit(len(base) + 1)).alias("path"),
-                "length",
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    """All files below folders given as path -> category, hidden ones too; reads names and sizes, no content."""
+    rows = [
+        (root, category, name, length) for root, category in roots.items() for name, length in file_lengths(spark, root)
+    ]
+    return spark.createDataFrame(rows, LISTING)
 
 
 def entry_of(path: Column) -> Column:

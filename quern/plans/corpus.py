@@ -16,7 +16,7 @@ from quern.operators.flagging import flagged, retained
 from quern.operators.ordering import assign_seq
 from quern.schemas import FILE_ORDER
 from quern.session import materialise
-from quern.sources.documents import collect_documents
+from quern.sources.documents import MAX_FILE_BYTES, collect_documents, rejected_files
 from quern.sources.registry import DATASET_PREFIXES
 
 # At 8 bytes an id, the ids of flagged rows stay near 100 MB when they go to every task.
@@ -112,17 +112,31 @@ def build_corpus(
     policy: Policy | None = None,
     parsers: dict[str, Callable[[bytes], str]] | None = None,
     stamp: str | None = None,
+    accept_rejects: bool = False,
+    max_bytes: int = MAX_FILE_BYTES,
 ) -> CorpusResult:
     """Documents of a folder -> dataset, and with a policy its report and clean copy.
 
     Without any document nothing is written. ``seq`` is a document's position after removal of
-    duplicates.
+    duplicates. Files that cannot be read end the build, unless the caller accepts them; then they are
+    stored beside the dataset as ``rejects_<stamp>`` and counted in its metadata.
     """
-    return store_corpus(collect_documents(spark, source, parsers), source, root, policy, stamp)
+    rejects = materialise(rejected_files(spark, source, parsers, max_bytes), "rejects")
+    n = rejects.count()
+    if n and not accept_rejects:
+        first = "; ".join(f"{r.path} ({r.reason})" for r in rejects.orderBy("path").take(10))
+        raise ValueError(f"{n} files cannot be read: {first}")
+    documents = collect_documents(spark, source, parsers, max_bytes)
+    return store_corpus(documents, source, root, policy, stamp, rejects if n else None)
 
 
 def store_corpus(
-    documents: DataFrame, source: str, root: str, policy: Policy | None = None, stamp: str | None = None
+    documents: DataFrame,
+    source: str,
+    root: str,
+    policy: Policy | None = None,
+    stamp: str | None = None,
+    rejects: DataFrame | None = None,
 ) -> CorpusResult:
     """``build_corpus`` from a table of documents in ``schemas.FILE_ORDER``."""
     spark = documents.sparkSession
@@ -133,7 +147,11 @@ def store_corpus(
     target = f"{root}/{DATASET_PREFIXES['custom']}{stamp}"
     sinks.write_dataset(unique.select("seq", "path", "text"), target)
     stored = spark.read.parquet(target)
+    # The keys of the metadata.
     fields: dict[str, object] = {"created_at": stamp, "source_documents_dir": source}
+    if rejects is not None:
+        sinks.write_dataset(rejects, f"{root}/rejects_{stamp}")
+        fields["rejected_files"] = rejects.count()
     done = None
     if policy is not None:
         done = sanitize(spark, target, policy, root, stamp=stamp)

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Where local sessions keep intermediate tables unless told otherwise.
+LOCAL_CHECKPOINTS = "quern-checkpoints"
+
+
 def local_session(cores: str = "*", name: str = "quern", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
     settings = {
@@ -17,6 +22,7 @@ def local_session(cores: str = "*", name: str = "quern", **conf: str) -> SparkSe
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": f"{tempfile.gettempdir()}/{LOCAL_CHECKPOINTS}",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
@@ -33,9 +39,18 @@ def _own_folder(application: str) -> str:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where it is unset a session in one process takes a temporary folder; on a cluster, whose machines do not
+    share one, this fails.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
+    if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+        folder = _own_folder(spark.sparkContext.applicationId)
+    return folder.rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import posixpath
 import re
+import sys
 import zipfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
+from itertools import islice
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quern.functions.text import CELL_SEPARATOR, strip, strip_or_null
+from quern.functions.text import CELL_SEPARATOR, strip
 from quern.schemas import DOCUMENTS
+from quern.sources.paths import file_names
 
-# One row cannot hold more; larger files are listed by ``oversized``.
+# One row cannot hold more; larger files are listed by ``rejected_files``.
 MAX_FILE_BYTES = 2_000_000_000
 TEXT_HEADER = "text"
-# Bytes of the mark; a file whose last line has no end is one byte shorter than its lines.
-BYTE_ORDER_MARK = 3
 
 
 def _glob(suffix: str) -> str:
@@ -62,101 +63,30 @@ def read_text_documents(
     return _documents(placed, F.col("value"), rank)
 
 
-def _csv_layout(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """Per CSV file: whether its first line is a header, and which cells make up a text.
+def csv_texts(content: bytes) -> Iterator[str | None]:
+    """The text of every record: its text column, or all its cells where the file has none.
 
-    ``cells`` lists positions: the text column alone, else the last position of every distinct
-    header in order. A file starting with a byte-order mark has it as part of its first header.
-    The row width is the largest number of commas in any line, so it needs an action.
+    The first line is the header; a blank one means that the file has none. A byte-order mark is part of the first
+    header. Of a repeated header the last cell counts, and cells beyond the header are joined like others.
     """
-    lines = spark.read.text(path, lineSep="\n", pathGlobFilter=_glob("csv")).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-        "value",
-    )
-    commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
-    # Files may end their lines with a carriage return only.
-    pieces = F.transform(
-        F.split("value", "\r"), lambda piece: F.length(piece) - F.length(F.replace(piece, F.lit(",")))
-    )
-    most = F.when(F.instr("value", "\r").between(1, F.length("value") - 1), F.array_max(pieces)).otherwise(commas)
-    width = (lines.agg(F.max(most)).first()[0] or 0) + 1
-    names = [f"c{i}" for i in range(width)]
-    # The line reader drops a byte-order mark, so the file is longer than its lines.
-    spare = F.max("size") - F.sum(F.octet_length("value") + 1)
-    heads = lines.groupBy("path").agg(
-        F.substring_index(F.min_by("value", F.struct("block", "row")), "\r", 1).alias("first"),
-        (spare >= BYTE_ORDER_MARK - 1).alias("marked"),
-    )
-    parsed = F.from_csv("first", ", ".join(f"{n} string" for n in names), {"escape": '"'})
-    found = F.array(*[parsed[n] for n in names])
-    header = F.transform(
-        F.filter(found, lambda h: h.isNotNull()),
-        lambda h, i: F.when((i == 0) & F.col("marked"), F.concat(F.lit("﻿"), h)).otherwise(h),
-    )
-    # A repeated header names one field whose last cell counts.
-    last = F.transform(
-        F.array_distinct("header"),
-        lambda name: F.lit(width) - F.array_position(F.reverse(F.col("padded")), name),
-    )
-    surplus = F.when(
-        F.size("header") < width, F.sequence(F.size("header").cast("long"), F.lit(width - 1).cast("long"))
-    ).otherwise(F.array().cast("array<bigint>"))
-    text_name = F.try_element_at(
-        F.filter("header", lambda h: F.lower(h) == TEXT_HEADER), F.lit(1)
-    )
-    text_cell = F.lit(width) - F.array_position(F.reverse(F.col("padded")), text_name)
-    every = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))
-    blank = F.length(F.col("first")) == 0
-    layout = (
-        heads.withColumn("header", header)
-        .withColumn(
-            "padded",
-            F.concat("header", F.array_repeat(F.lit(None).cast("string"), F.lit(width) - F.size("header"))),
-        )
-        .select(
-            "path",
-            (~blank).alias("has_header"),
-            F.when(blank, every)
-            .when(text_name.isNotNull(), F.array(text_cell))
-            .otherwise(F.concat(last, surplus))
-            .alias("cells"),
-        )
-    )
-    return layout, width
-
-
-def read_csv_documents(spark: SparkSession, path: str, rank: int = 0) -> DataFrame:
-    """One document per CSV row: its text column, or all its cells where there is none.
-
-    Every file has its own header; a blank first line means the file has none. A file's rows are
-    read by one task in order, as quoted cells may hold line ends.
-    """
-    layout, width = _csv_layout(spark, path)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    rows = spark.read.csv(
-        path,
-        schema=schema,
-        header=False,
-        multiLine=True,
-        quote='"',
-        escape='"',
-        maxColumns=max(width, 20480),
-        pathGlobFilter=_glob("csv"),
-    ).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.lit(0).cast("long").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-        F.array(*[F.col(n) for n in schema.names]).alias("values"),
-    )
-    starts = rows.groupBy("path").agg(F.min("row").alias("first_row"))
-    placed = rows.join(layout.join(starts, "path"), "path").filter(
-        ~F.col("has_header") | (F.col("row") > F.col("first_row"))
-    )
-    picked = F.transform("cells", lambda i: strip_or_null(F.get("values", i.cast("int"))))
-    return _documents(placed, F.array_join(picked, CELL_SEPARATOR), rank)
+    csv.field_size_limit(sys.maxsize)
+    records = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8", "replace", newline=""))
+    header = next(records, [])
+    last = {name: i for i, name in enumerate(header)}
+    text = next((name for name in header if name.lower() == TEXT_HEADER), None)
+    for cells in records:
+        if text is not None:
+            yield cells[last[text]] if last[text] < len(cells) else None
+            continue
+        picked = [cells[i] for i in last.values() if i < len(cells)] + cells[len(header) :]
+        yield CELL_SEPARATOR.join(cell for cell in map(str.strip, picked) if cell)
+
+
+def read_csv_documents(
+    spark: SparkSession, path: str, rank: int = 0, max_bytes: int = MAX_FILE_BYTES
+) -> DataFrame:
+    """One document per CSV record; a file is read once, in order, by one task, as cells may hold line ends."""
+    return _readable(_parsed(spark, path, "csv", csv_texts, max_bytes), rank)
 
 
 # Fixed value: the namespace of word-processor markup.
@@ -171,8 +101,9 @@ def docx_text(content: bytes) -> str:
     lines = []
     for paragraph in body.findall(f"{_WORD}p"):
         pieces = []
-        for run in paragraph.findall(f"{_WORD}r") + paragraph.findall(f"{_WORD}hyperlink/{_WORD}r"):
-            for node in run:
+        for child in paragraph:
+            runs = child.findall(f"{_WORD}r") if child.tag == f"{_WORD}hyperlink" else [child]
+            for node in (node for run in runs if run.tag == f"{_WORD}r" for node in run):
                 kind = node.tag.removeprefix(_WORD)
                 pieces.append(node.text or "" if kind == "t" else _BREAKS.get(kind, ""))
         lines.append("".join(pieces))
@@ -197,15 +128,13 @@ def epub_text(content: bytes) -> str:
     return "".join(bodies)
 
 
-def read_binary_documents(
-    spark: SparkSession,
-    path: str,
-    suffix: str,
-    parse: Callable[[bytes], str],
-    rank: int = 0,
-    max_bytes: int = MAX_FILE_BYTES,
+RECORDS_AT_ONCE = 1000
+
+
+def _parsed(
+    spark: SparkSession, path: str, suffix: str, records: Callable[[bytes], Iterable[str | None]], max_bytes: int
 ) -> DataFrame:
-    """One document per file, by a parser; a file it cannot read is left out with a message."""
+    """path, row, value and error: a file's records in order, and what ended them early."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", _glob(suffix))
@@ -214,22 +143,60 @@ def read_binary_documents(
         .select("path", "content")
     )
 
-    def parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(name: str, row: int, values: list[str | None], error: str | None) -> pa.RecordBatch:
+        n = len(values)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([name] * n, pa.string()),
+                pa.array(range(row, row + n), pa.int64()),
+                pa.array(values, pa.string()),
+                pa.array([error] * n, pa.string()),
+            ],
+            names=["path", "row", "value", "error"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for name, content in zip(batch.column("path"), batch.column("content")):
-                try:
-                    texts.append(parse(content.as_py()))
-                except Exception as error:  # noqa: BLE001 - any broken file is skipped
-                    print(f"Skipping {name}: {error}")
-                    texts.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("path"), pa.array(texts, pa.string())], names=["path", "value"]
-            )
+            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                found = iter(records(content.as_py()))
+                row, error, more = 0, None, True
+                while more:
+                    values: list[str | None] = []
+                    try:
+                        values.extend(islice(found, RECORDS_AT_ONCE))
+                    except Exception as problem:  # noqa: BLE001 - any broken file is reported
+                        error = f"{type(problem).__name__}: {problem}"
+                    more = len(values) == RECORDS_AT_ONCE
+                    yield rows_of(name.as_py(), row, values, None)
+                    row += len(values)
+                if error:
+                    yield rows_of(name.as_py(), row, [None], error)
+
+    return files.mapInArrow(run, "path string, row long, value string, error string")
+
+
+def _readable(parsed: DataFrame, rank: int) -> DataFrame:
+    rows = parsed.filter(F.col("error").isNull())
+    return _documents(rows.select("path", F.lit(0).cast("long").alias("block"), "row", "value"), F.col("value"), rank)
+
+
+def _whole(parse: Callable[[bytes], str]) -> Callable[[bytes], Iterator[str]]:
+    def records(content: bytes) -> Iterator[str]:
+        yield parse(content)
+
+    return records
 
-    parsed = files.mapInArrow(parse_all, "path string, value string")
-    zero = F.lit(0).cast("long")
-    return _documents(parsed.select("path", zero.alias("block"), zero.alias("row"), "value"), F.col("value"), rank)
+
+def read_binary_documents(
+    spark: SparkSession,
+    path: str,
+    suffix: str,
+    parse: Callable[[bytes], str],
+    rank: int = 0,
+    max_bytes: int = MAX_FILE_BYTES,
+) -> DataFrame:
+    """One document per file, by a parser; ``rejected_files`` lists what it cannot read."""
+    return _readable(_parsed(spark, path, suffix, _whole(parse), max_bytes), rank)
 
 
 # Formats in the order their documents follow each other; those without a parser here take one
@@ -239,16 +206,53 @@ PARSERS: dict[str, Callable[[bytes], str]] = {"epub": epub_text, "docx": docx_te
 
 
 def collect_documents(
-    spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes], str]] | None = None
+    spark: SparkSession,
+    path: str,
+    parsers: dict[str, Callable[[bytes], str]] | None = None,
+    max_bytes: int = MAX_FILE_BYTES,
 ) -> DataFrame:
     """All documents of a folder; ``schemas.FILE_ORDER`` gives their order."""
     known = PARSERS | (parsers or {})
     parts = []
     for rank, suffix in enumerate(FORMATS):
         if suffix == "csv":
-            parts.append(read_csv_documents(spark, path, rank))
+            parts.append(read_csv_documents(spark, path, rank, max_bytes))
         elif suffix == "txt":
-            parts.append(read_text_documents(spark, path, rank))
+            parts.append(read_text_documents(spark, path, rank, max_bytes))
         elif suffix in known:
-            parts.append(read_binary_documents(spark, path, suffix, known[suffix], rank))
+            parts.append(read_binary_documents(spark, path, suffix, known[suffix], rank, max_bytes))
     return reduce(DataFrame.unionByName, parts).select(*DOCUMENTS.names)
+
+
+def rejected_files(
+    spark: SparkSession,
+    path: str,
+    parsers: dict[str, Callable[[bytes], str]] | None = None,
+    max_bytes: int = MAX_FILE_BYTES,
+) -> DataFrame:
+    """Files of a folder that ``collect_documents`` leaves out: path, reason.
+
+    They are too large for one row, of a format without a parser, broken, or have a hidden name,
+    which Spark's readers skip. Parses the packed files and CSV files for their errors.
+    """
+    known = PARSERS | (parsers or {})
+    hidden = [
+        (name, "hidden name")
+        for name in file_names(spark, path)
+        if posixpath.basename(name)[0] in "._" and name.lower().rpartition(".")[2] in FORMATS
+    ]
+    parts = [spark.createDataFrame(hidden, "path string, reason string")]
+    large = oversized(spark, path, FORMATS, max_bytes)
+    parts.append(large.select("path", F.concat(F.lit("too large: "), F.col("length").cast("string")).alias("reason")))
+    for suffix in FORMATS:
+        if suffix == "txt":
+            continue
+        if suffix == "csv" or suffix in known:
+            records = csv_texts if suffix == "csv" else _whole(known[suffix])
+            parsed = _parsed(spark, path, suffix, records, max_bytes).filter(F.col("error").isNotNull())
+            parts.append(parsed.select("path", F.concat(F.lit("broken: "), "error").alias("reason")))
+        else:
+            files = spark.read.format("binaryFile").option("pathGlobFilter", _glob(suffix)).load(path)
+            fits = files.filter(F.col("length") <= max_bytes)
+            parts.append(fits.select("path", F.lit("no parser").alias("reason")))
+    return reduce(DataFrame.unionByName, parts)

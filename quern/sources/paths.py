@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,33 @@ def is_directory(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.getFileStatus(hadoop_path).isDirectory()
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of all files in a folder, hidden ones too."""
+    return [str(status.getPath()) for status in _children(spark, folder) if status.isFile()]
+
+
+def entry_lengths(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(name, bytes) of every entry of a folder, hidden files below it counted; one call per entry."""
+    fs = _file_system(spark, folder)
+    return [
+        (status.getPath().getName(), fs.getContentSummary(status.getPath()).getLength()) for status in _children(spark, folder)
+    ]
+
+
+def file_lengths(spark: SparkSession, folder: str) -> Iterator[tuple[str, int]]:
+    """(path relative to the folder, bytes) of every file below it, hidden ones too."""
+    found = _file_system(spark, folder).listFiles(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/"
+    while found.hasNext():
+        status = found.next()
+        yield status.getPath().toUri().getPath().removeprefix(base), status.getLen()
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _children(spark: SparkSession, folder: str):
+    return _file_system(spark, folder).listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))

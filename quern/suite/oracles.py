@@ -270,11 +270,11 @@ SQL: dict[str, str] = {
             context, chr(10), chr(10), 'Question: What does ', source, ' say in ', lang, '?') as prompt
         from contexts join documents on doc_id = query_id""",
     "validation_report": """
-        select 'size' as "check", count(*) >= 5000000000 as ok, 'Dataset contains ' || count(*) ||
-        ' examples, fewer than minimum required (5000000000)' as message from documents
-        union all select 'columns', false, 'Missing required columns: [''summary'']'""",
+        select 'size' as "check", count(*) >= 5000000000 as ok,
+        count(*) || ' rows, but at least 5000000000 are wanted' as message from documents
+        union all select 'columns', false, 'no column summary'""",
     "dataset_metadata": "select count(*) as length, 'doc_id text lang source n_chars' as columns from documents",
-    "estimated_length": "select least(count(*), 1000) as length from events",
+    "estimated_length": "select least(count(*), 1000) as length, count(*) <= 1000 as exact from events",
     "latest_by_kind": f"""
         select event_type as kind, max_by(event_id, (ts, event_id)) as path,
         {_STAMP.replace("ts", "max(ts)", 1)} as created_at from events group by event_type""",

@@ -106,7 +106,7 @@ def flag_context(spark, sf):
     only rows with a hit are shuffled.
     """
     docs = flagging.normalise(table(spark, sf, "documents").select("doc_id", "text"))
-    unique = dedup.dedup_exact(flagging.raw_hits(docs, PATTERNS), order=["doc_id"])
+    unique = dedup.dedup_exact(flagging.raw_hits(docs, PATTERNS), order=["doc_id"], carry=True)
     hit = flagging.flagged(unique, PATTERNS, CONTEXT)
     return sinks.quarantine_rows(hit, "doc_id").withColumnRenamed("index", "doc_id")
 
@@ -129,7 +129,7 @@ def phrase_scan(spark, sf):
 
 @query
 def phrase_summary(spark, sf):
-    return flagging.phrase_summary(phrase_scan(spark, sf))
+    return flagging.phrase_summary(table(spark, sf, "documents"), PHRASES)
 
 
 @query

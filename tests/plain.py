@@ -6,16 +6,10 @@ import re
 
 
 def counting_matches(text, patterns, keywords, window=120):
-    if not text:
-        return []
-    out = []
-    for pattern in patterns:
-        for match in re.finditer(pattern, text, re.IGNORECASE):
-            before = text[: match.start()][-window:] if match.start() else ""
-            before = before.lower()
-            if not [k for k in keywords if k in before]:
-                out.append(match[0])
-    return out
+    """Matches of all patterns without a keyword among the ``window`` characters before them."""
+    found = [m for p in patterns for m in re.finditer(p, text or "", re.IGNORECASE)]
+    context = {m: text[max(0, m.start() - window) : m.start()].lower() for m in found}
+    return [m.group() for m in found if not any(k in context[m] for k in keywords)]
 
 
 def excerpt(text):
@@ -23,13 +17,16 @@ def excerpt(text):
 
 
 def scan(text, phrases):
+    """(phrase, start, end, severity) by looking at every position."""
     hits = []
     for phrase in phrases:
-        weight = max(1, min(5, len(phrase) // 10))
-        hits += [
-            (phrase, m.start(), m.end(), weight)
-            for m in re.finditer(re.escape(phrase), text, re.IGNORECASE)
-        ]
+        at, size = 0, len(phrase)
+        while at + size <= len(text):
+            if text[at : at + size].lower() == phrase.lower():
+                hits.append((phrase, at, at + size, [1, 1, 2, 3, 4, 5][min(size // 10, 5)]))
+                at += size
+            else:
+                at += 1
     return hits
 
 
@@ -41,22 +38,17 @@ def redact(text, phrases, token="[REDACTED]"):
 
 def record_text(line, keys=("text", "content", "instruction", "prompt"), fallback="first"):
     """The text of a JSON line, or None; containers are left to the tests' own expectations."""
-    line = line.strip()
-    if not line:
-        return None
     try:
         value = json.loads(line)
     except ValueError:
-        return line
-    if not isinstance(value, dict):
-        return str(value)
-    for key in keys:
-        if value.get(key):
-            return str(value[key])
-    strings = [v for v in value.values() if isinstance(v, str) and v.strip()]
-    if not strings:
-        return None
-    return strings[0] if fallback == "first" else " ".join(strings)
+        return line.strip() or None
+    if type(value) is not dict:
+        return f"{value}"
+    chosen = [f"{value[k]}" for k in keys if value.get(k)]
+    chosen = chosen or [v for v in value.values() if type(v) is str and v.strip()]
+    if fallback == "join" and not any(value.get(k) for k in keys):
+        chosen = [" ".join(chosen)] if chosen else []
+    return chosen[0] if chosen else None
 
 
 def first_occurrences(keys):

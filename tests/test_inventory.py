@@ -11,20 +11,26 @@ def listing(spark, rows):
 
 
 def test_listing_and_plan(spark, tmp_path):
-    for name, size in (("models/m1/a.bin", 5), ("models/m1/.hidden", 2), ("models/.git/x", 9), ("data/d1.txt", 3), ("cache/c/d/e", 1)):
+    for name, size in (("models/m1/a.bin", 5), ("models/m1/.hidden", 2), ("models/.git/x", 9), ("models/m2/_part", 4), ("models/_cache/x", 6), ("data/d1.txt", 3), ("cache/c/d/e", 1)):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(b"x" * size)
     roots = {str(tmp_path / "models"): "models", str(tmp_path / "data"): "datasets", str(tmp_path / "cache"): "cache"}
+    (tmp_path / "models/empty").mkdir()
     files = inventory.list_files(spark, roots)
+    whole = {(r.category, r.entry): r.size_bytes for r in inventory.entry_sizes(inventory.list_entries(spark, roots)).collect()}
     sizes = {(r.category, r.entry): r.size_bytes for r in inventory.entry_sizes(files).collect()}
     assert sizes[("datasets", "d1.txt")] == 3 and sizes[("cache", "c")] == 1
-    assert sizes[("models", "m1")] in (5, 7) and ("models", ".git") not in sizes
+    assert sizes[("models", "m1")] == 7 and sizes[("models", "m2")] == 4 and sizes[("models", "_cache")] == 6
+    assert ("models", ".git") not in sizes
+    assert whole == {**sizes, ("models", "empty"): 0}
     taken = spark.createDataFrame([("/new/data/d1.txt",), ("/new/data/d1.txt",)], "destination string")
     plan = inventory.plan_moves(files, taken, {"models": "/new/models", "datasets": "/new/data"}, "/new/cache")
     got = {(r.source.rsplit("/", 1)[1], r.destination, r.action) for r in plan.collect()}
     assert got == {
         ("m1", "/new/models/m1", "move"),
+        ("m2", "/new/models/m2", "move"),
+        ("_cache", "/new/models/_cache", "move"),
         ("d1.txt", "/new/data/d1.txt", "skip-conflict"),
         ("c", "/new/cache/c", "move"),
     }

@@ -87,5 +87,6 @@ def test_joined_responses(spark):
         '{"response":"a"}\n\nbad\r\n{"response":5}\r{"response":" b "}\n{"other":1}\n{"response":null}\n'
         '{"response":"t"} x\n{"response":"t"},5\n[{"response":"q"}]\n  {"response":"\\u00e9","done":true}  '
     )
-    df = spark.createDataFrame([(body,), ("",), ("x",)], "b string")
-    assert [r.o for r in df.select(joined_responses(F.col("b")).alias("o")).collect()] == ["a b é", "", ""]
+    repeated = '{"response":"a","response":"b"}\n{"response":"c"}\n{"response":"d","response":1}\n{"response":"e"},{"response":"f"}'
+    df = spark.createDataFrame([(body,), ("",), ("x",), (repeated,)], "b string")
+    assert [r.o for r in df.select(joined_responses(F.col("b")).alias("o")).collect()] == ["a b é", "", "", "bc"]
