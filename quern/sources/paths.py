@@ -35,6 +35,12 @@ def entry_lengths(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     ]
 
 
+def rename_file(spark: SparkSession, name: str, target: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if not _file_system(spark, name).rename(path(name), path(target)):
+        raise OSError(f"{name} cannot be renamed to {target}")
+
+
 def file_lengths(spark: SparkSession, folder: str) -> Iterator[tuple[str, int]]:
     """(path relative to the folder, bytes) of every file below it, hidden ones too."""
     found = _file_system(spark, folder).listFiles(spark._jvm.org.apache.hadoop.fs.Path(folder), True)

@@ -319,6 +319,31 @@ SQL: dict[str, str] = {
     "csv_text_column": f"select {_strip('text')} as text from conversations where length({_strip('text')}) > 0",
     "csv_joined_cells": """
         select c_custkey || ' | ' || c_name || ' | ' || c_nationkey || ' | ' || c_mktsegment as text from customer""",
+    "csv_headerless": "select s_suppkey || ' | ' || s_name || ', Ltd | ' || s_nationkey as text from supplier",
+    "text_folder": f"select {_strip('html')} as text from pages where length({_strip('html')}) > 0",
+    "mixed_folder": f"""
+        with files as (select {_strip("replace(text, ' ', ', ')")} as text from documents
+            union all select {_strip("string_agg(text, chr(10) order by item_id)")} from benchmark),
+        firsts as (select distinct text from files where length(text) > 0)
+        select text, 1 as documents from firsts union all select 'metadata', count(*) from firsts""",
+    "clean_copy": f"""
+        select 'row' as kind, doc_id as a, length(text) as b from ({_ANNOTATED}) where len(phrases) = 0
+        union all select 'metadata', count(*) filter (len(phrases) > 0), count(*) filter (len(phrases) = 0)
+        from ({_ANNOTATED})""",
+    "word_lists": """
+        with words as (select item_id % 3 as kind,
+            array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:3], ' ') as w from benchmark),
+        lines as (select kind, trim(case kind when 2 then w else '# ' || w end) as w from words)
+        select 'none' as mode, w as word from lines union all
+        select 'raw', lower(w) from lines where kind <> 0 union all
+        select 'stripped', w from lines where kind = 2""",
+    "redact_single_pass": f"""
+        select doc_id, regexp_replace(text, {literal("|".join(sorted(REDACTED, key=len, reverse=True)))}, '[REDACTED]', 'gi')
+        as text from documents""",
+    "vector_store": """
+        select doc_id, text, len(embedding) as dimensions,
+        round(list_sum(list_transform(embedding, lambda x: x::double)), 6) as total
+        from documents join embeddings on doc_id = vec_id""",
     "jsonl_round_trip": "select text from conversations where text <> ''",
     "line_source": f"""
         select text from (select {_strip("unnest(string_split(text, chr(10)))")} as text from benchmark)

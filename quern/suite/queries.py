@@ -20,7 +20,7 @@ from quern.session import checkpoint_root
 from quern.sources import documents as document_files
 from quern.sources import lines as line_files
 from quern.sources import registry
-from quern.sources.paths import is_directory
+from quern.sources.paths import file_names, is_directory, rename_file
 from quern.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -557,6 +557,92 @@ def csv_joined_cells(spark, sf):
     return document_files.read_csv_documents(spark, path).select("text")
 
 
+@query
+def csv_headerless(spark, sf):
+    """Suppliers as a CSV file whose blank first line says that it has no header."""
+    path = scratch(spark, "csv")
+    quoted = F.concat(F.lit('"'), "s_name", F.lit(', Ltd"'))
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.concat_ws(",", "s_suppkey", quoted, "s_nationkey").alias("line"))
+    blank = spark.createDataFrame([(None, "")], "s_suppkey long, line string")
+    rows.unionByName(blank).orderBy(F.col("s_suppkey").asc_nulls_first()).select("line").coalesce(1).write.text(path)
+    for name in file_names(spark, path):
+        if name.endswith(".txt"):
+            rename_file(spark, name, f"{name}.csv")
+    return document_files.read_csv_documents(spark, path).select("text")
+
+
+@query
+def text_folder(spark, sf):
+    """Pages as text files, one each."""
+    path = scratch(spark, "texts")
+    pages = table(spark, sf, "pages").select("page_id", F.concat(F.lit(" \n"), "html"))
+    pages.write.partitionBy("page_id").text(path)
+    return document_files.read_text_documents(spark, f"{path}/*").select("text")
+
+
+@query
+def mixed_folder(spark, sf):
+    """Documents as CSV cells of many commas and the benchmark as one text file, built into a corpus."""
+    path, root = scratch(spark, "folder"), scratch(spark, "built")
+    docs = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit(", ")).alias("text"))
+    docs.write.csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    items = table(spark, sf, "benchmark").orderBy("item_id").select("text")
+    items.coalesce(1).write.mode("append").text(path)
+    done = corpus.build_corpus(spark, path, root)
+    counted = spark.read.json(done.metadata).select(F.lit("metadata").alias("text"), F.col("document_count").alias("documents"))
+    stored = spark.read.parquet(done.dataset).select("text", F.lit(1).cast("long").alias("documents"))
+    return stored.unionByName(counted)
+
+
+@query
+def clean_copy(spark, sf):
+    """A stored dataset's clean copy and the counts in its metadata."""
+    path, root = scratch(spark, "stored"), scratch(spark, "clean")
+    table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text").write.parquet(path)
+    done = corpus.sanitize(spark, path, corpus.Policy(PATTERNS, CONTEXT), root, stamp="now")
+    counts = spark.read.json(f"{root}/metadata/sanitization_now").select(
+        F.lit("metadata").alias("kind"), F.col("flagged_examples").alias("a"), F.col("retained_examples").alias("b")
+    )
+    kept = spark.read.parquet(done.dataset).select(
+        F.lit("row").alias("kind"), F.col("seq").alias("a"), F.length("text").cast("long").alias("b")
+    )
+    return kept.unionByName(counts)
+
+
+@query
+def word_lists(spark, sf):
+    """Benchmark items as a word list with comments, read in all three modes."""
+    path = scratch(spark, "words")
+    words = F.substring_index(F.regexp_replace("text", r"\s+", " "), " ", 3)
+    mark = F.element_at(F.array(F.lit("# "), F.lit(" # "), F.lit(" ")), (F.col("item_id") % 3 + 1).cast("int"))
+    table(spark, sf, "benchmark").select(F.concat(mark, words)).write.text(path)
+    rows = [
+        (mode, word)
+        for mode in ("none", "raw", "stripped")
+        for word in line_files.read_word_list(spark, path, mode, lower=mode == "raw")
+    ]
+    return spark.createDataFrame(rows, "mode string, word string")
+
+
+@query
+def redact_single_pass(spark, sf):
+    return flagging.redact(table(spark, sf, "documents").select("doc_id", "text"), REDACTED, mode="single_pass")
+
+
+@query
+def vector_store(spark, sf):
+    """Vectors written as a store and read back."""
+    path = scratch(spark, "store")
+    docs = table(spark, sf, "documents").join(_store(spark, sf), "doc_id").select("doc_id", "text", "embedding")
+    sinks.write_vectors(docs, path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return spark.read.parquet(path).select(
+        "doc_id", "text", F.size("embedding").alias("dimensions"), F.round(total, 6).alias("total")
+    )
+
+
 @query
 def jsonl_round_trip(spark, sf):
     path = scratch(spark, "jsonl")
