@@ -15,9 +15,15 @@ CLASSIFICATION_LENGTH = 128
 QUICK_RUN_LENGTH = 512
 
 
-def words(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits."""
-    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+def words(text: Column, first: int | None = None) -> Column:
+    """Lower-cased runs of ASCII letters and digits; of all of them or the ``first`` ones.
+
+    With a number the text is split no further than that; there may be an empty piece before the words and the
+    rest of the text after them.
+    """
+    if first is None:
+        return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+    return F.slice(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+", first + 2), ""), 1, first)
 
 
 def pad(ids: Column, max_length: int, pad_id: int = PAD_ID) -> Column:

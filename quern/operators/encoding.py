@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from quern.functions import tokens as K
 
 VOCABULARY_SIZE = 32_000
-# A vocabulary up to this many words goes to every task; a larger one is joined.
+# A vocabulary up to this many words and bytes goes to every task; a larger one is joined.
 BROADCAST_WORDS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_vocab(df: DataFrame, size: int = VOCABULARY_SIZE, text: str = "text") -> DataFrame:
@@ -58,13 +59,17 @@ def token_ids(
 ) -> DataFrame:
     """Add ``ids``: the ids of the first ``max_length`` words, unpadded (counts the vocabulary).
 
-    A vocabulary beyond ``broadcast_words`` is joined word by word on a shuffle; adaptive
-    execution splits the partitions of frequent words.
+    A vocabulary beyond ``broadcast_words`` words or BROADCAST_BYTES is joined word by word on a shuffle; adaptive
+    execution splits the partitions of frequent words. The arrays then return by ``row_id``, so repeated
+    ids are an error.
     """
-    words = F.slice(K.words(F.coalesce(F.col(text), F.lit(""))), 1, max_length)
-    listed = vocab.select("token", "token_id").limit(broadcast_words + 1).toArrow()
-    if listed.num_rows <= broadcast_words:
-        return df.withColumn("ids", _lookup(listed)(words))
+    words = K.words(F.coalesce(F.col(text), F.lit("")), max_length)
+    size = vocab.agg(F.count("*").alias("n"), F.sum(F.octet_length("token")).alias("bytes")).first()
+    if size["n"] <= broadcast_words and (size["bytes"] or 0) <= BROADCAST_BYTES:
+        return df.withColumn("ids", _lookup(vocab.select("token", "token_id").toArrow())(words))
+    repeated = df.groupBy(row_id).agg(F.count("*").alias("_n")).filter("_n > 1").take(1)
+    if repeated:
+        raise ValueError(f"{row_id} {repeated[0][row_id]!r} is not unique")
     placed = df.select(F.col(row_id), F.posexplode(words).alias("_pos", "token"))
     found = placed.join(vocab.select("token", "token_id").hint("merge"), "token", "left").select(
         row_id, F.struct("_pos", F.coalesce("token_id", F.lit(K.UNKNOWN_ID)).alias("id")).alias("_at")

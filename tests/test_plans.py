@@ -167,3 +167,15 @@ def test_validation(spark, documents, tmp_path):
     assert validation.estimated_length(spark.range(5)).first().length == 5
     meta = validation.dataset_metadata(documents).first()
     assert (meta.length, meta.columns) == (200, documents.columns)
+
+
+def test_rejects_end_a_build_or_are_stored(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.txt").write_text("fine")
+    (tmp_path / "docs/b.docx").write_text("no archive")
+    with pytest.raises(ValueError, match="1 files cannot be read.*b.docx"):
+        corpus.build_corpus(spark, str(tmp_path / "docs"), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+    done = corpus.build_corpus(spark, str(tmp_path / "docs"), str(tmp_path / "out"), stamp="now", accept_rejects=True)
+    assert done.documents == 1 and done.fields["rejected_files"] == 1
+    assert spark.read.parquet(str(tmp_path / "out/rejects_now")).first().reason.startswith("broken: ")

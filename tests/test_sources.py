@@ -202,3 +202,35 @@ def test_catalog(spark):
     custom = catalog.filter("kind = 'custom'")
     assert R.preferred_dataset(custom).first().path == "/d/custom_dataset_2"
     assert R.preferred_dataset(catalog.filter("kind is null")).collect() == []
+
+
+def test_docx_links_stay_in_place(spark, tmp_path):
+    docx(
+        tmp_path / "a.docx",
+        "<w:p><w:r><w:t>See </w:t></w:r><w:hyperlink><w:r><w:t>LINK</w:t></w:r></w:hyperlink><w:r><w:t> for more</w:t></w:r></w:p>",
+    )
+    assert texts(D.read_binary_documents(spark, str(tmp_path), "docx", D.docx_text)) == ["See LINK for more"]
+
+
+def test_csv_with_very_many_commas(spark, tmp_path):
+    long = ",".join(["x"] * 10_000)
+    write(tmp_path, "a.csv", f'text,n\n"{long}",1\n' + "short,2\n" * 3000)
+    write(tmp_path, "b.csv", f"a,b\n{long}\n")
+    found = texts(D.read_csv_documents(spark, str(tmp_path)))
+    assert len(found) == 3002 and found[0] == long and found[-1] == long.replace(",", " | ")
+
+
+def test_rejected_files(spark, tmp_path):
+    write(tmp_path, "broken.docx", "no archive")
+    write(tmp_path, "a.pdf", "x")
+    write(tmp_path, "_notes.txt", "hidden")
+    write(tmp_path, ".more.csv", "hidden")
+    write(tmp_path, "big.txt", "0123456789")
+    write(tmp_path, "fine.txt", "fine")
+    write(tmp_path, "other.bin", "no document")
+    found = {os.path.basename(r.path): r.reason.split(":")[0] for r in D.rejected_files(spark, str(tmp_path), max_bytes=9).collect()}
+    assert found == {
+        "broken.docx": "too large", "a.pdf": "no parser", "_notes.txt": "hidden name", ".more.csv": "hidden name", "big.txt": "too large",
+    }
+    reasons = {os.path.basename(r.path): r.reason for r in D.rejected_files(spark, str(tmp_path), {"pdf": bytes.decode}).collect()}
+    assert reasons["broken.docx"].startswith("broken: BadZipFile") and "a.pdf" not in reasons and "big.txt" not in reasons
