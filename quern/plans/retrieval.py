@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import IDFModel
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from quern import sinks
@@ -17,7 +16,7 @@ def build_store(
     docs: DataFrame,
     path: str,
     encoder: Callable[[Column], Column] | None = None,
-    weights: IDFModel | None = None,
+    weights: Sequence[float] | None = None,
     doc_id: str = "doc_id",
 ) -> None:
     """Write doc_id, text and embedding of every document."""
@@ -30,7 +29,7 @@ def ask(
     questions: DataFrame,
     k: int = TOP_K,
     encoder: Callable[[Column], Column] | None = None,
-    weights: IDFModel | None = None,
+    weights: Sequence[float] | None = None,
 ) -> DataFrame:
     """Prompts for a table of (query_id, question)."""
     asked = embed(questions, encoder, weights, text="question")

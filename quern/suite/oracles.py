@@ -319,6 +319,25 @@ SQL: dict[str, str] = {
     "csv_text_column": f"select {_strip('text')} as text from conversations where length({_strip('text')}) > 0",
     "csv_joined_cells": """
         select c_custkey || ' | ' || c_name || ' | ' || c_nationkey || ' | ' || c_mktsegment as text from customer""",
+    "tfidf_neighbours": f"""
+        with texts as (select 'd' as side, doc_id as id, text from documents union all
+            select 'q', item_id, text from benchmark),
+        hits as (select side, id, cast('0x' || left(md5(w), 8) as bigint) % 256 as b, count(*) as n
+            from (select side, id, unnest({_WORDS}) as w from texts) group by all),
+        total as (select count(*) as n from documents),
+        weights as (select b, ln(((select n from total) + 1) / (coalesce(df, 0) + 1)) as idf
+            from range(256) r(b) left join (select b, count(*) as df from hits where side = 'd' group by b) using (b)),
+        dense as (select t.side, t.id, list(coalesce(n, 0) * idf order by weights.b) as v
+            from texts t cross join weights left join hits on hits.side = t.side and hits.id = t.id and hits.b = weights.b
+            group by t.side, t.id),
+        lengths as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as size from dense),
+        unit as (select side, id, list_transform(v, lambda x: cast(case when size > 0 then x / size else 0 end as float))
+            as v from lengths),
+        pairs as (select q.id as query_id, d.id as doc_id, list_sum(list_transform(range(1, 257), lambda i:
+            (q.v[i]::double - d.v[i]::double) * (q.v[i]::double - d.v[i]::double))) as d2
+            from unit q, unit d where q.side = 'q' and d.side = 'd'),
+        ranked as (select *, row_number() over (partition by query_id order by d2, doc_id) as rank from pairs)
+        select query_id, doc_id, round(d2, 6) as d2, cast(rank as integer) as rank from ranked where rank <= 5""",
     "csv_headerless": "select s_suppkey || ' | ' || s_name || ', Ltd | ' || s_nationkey as text from supplier",
     "text_folder": f"select {_strip('html')} as text from pages where length({_strip('html')}) > 0",
     "mixed_folder": f"""

@@ -375,14 +375,12 @@ def rag_prompts(spark, sf):
 
 @query
 def tfidf_neighbours(spark, sf):
-    """Benchmark items as questions over documents, both with hashed TF-IDF vectors.
-
-    No SQL: the hash is Spark's own.
-    """
+    """Benchmark items as questions over documents, both with hashed TF-IDF vectors."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     weights = embedding.fit_weights(docs)
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return neighbours.knn(embedding.embed(docs, weights=weights), embedding.embed(asked, weights=weights))
+    near = neighbours.knn(embedding.embed(docs, weights=weights), embedding.embed(asked, weights=weights))
+    return near.select("query_id", "doc_id", F.round("d2", 6).alias("d2"), "rank")
 
 
 # Checks, logs and listings

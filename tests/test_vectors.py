@@ -1,8 +1,8 @@
+import hashlib
 import math
 import random
 
 import numpy as np
-from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -75,7 +75,10 @@ def test_hashed_tfidf_equals_plain_loop(spark, documents, document_rows):
     dimensions = 64
     weights = embedding.fit_weights(documents, dimensions=dimensions)
     got = {r.doc_id: r.embedding for r in embedding.embed(documents, weights=weights, dimensions=dimensions).collect()}
-    bucket = HashingTF(inputCol="w", outputCol="v", numFeatures=dimensions).indexOf
+
+    def bucket(word):
+        return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
+
     counts = []
     for row in document_rows:
         vector = [0] * dimensions
