@@ -15,7 +15,7 @@ from quern.operators.dedup import dedup_exact
 from quern.operators.flagging import flagged, retained
 from quern.operators.ordering import assign_seq
 from quern.schemas import FILE_ORDER
-from quern.session import materialise
+from quern.session import intermediate_tables, materialise
 from quern.sources.documents import MAX_FILE_BYTES, collect_documents, rejected_files
 from quern.sources.registry import DATASET_PREFIXES
 
@@ -121,13 +121,14 @@ def build_corpus(
     duplicates. Files that cannot be read end the build, unless the caller accepts them; then they are
     stored beside the dataset as ``rejects_<stamp>`` and counted in its metadata.
     """
-    rejects = materialise(rejected_files(spark, source, parsers, max_bytes), "rejects")
-    n = rejects.count()
-    if n and not accept_rejects:
-        first = "; ".join(f"{r.path} ({r.reason})" for r in rejects.orderBy("path").take(10))
-        raise ValueError(f"{n} files cannot be read: {first}")
-    documents = collect_documents(spark, source, parsers, max_bytes)
-    return store_corpus(documents, source, root, policy, stamp, rejects if n else None)
+    with intermediate_tables(spark):
+        rejects = materialise(rejected_files(spark, source, parsers, max_bytes), "rejects")
+        n = rejects.count()
+        if n and not accept_rejects:
+            first = "; ".join(f"{r.path} ({r.reason})" for r in rejects.orderBy("path").take(10))
+            raise ValueError(f"{n} files cannot be read: {first}")
+        documents = collect_documents(spark, source, parsers, max_bytes)
+        return store_corpus(documents, source, root, policy, stamp, rejects if n else None)
 
 
 def store_corpus(
@@ -139,8 +140,14 @@ def store_corpus(
     rejects: DataFrame | None = None,
 ) -> CorpusResult:
     """``build_corpus`` from a table of documents in ``schemas.FILE_ORDER``."""
+    with intermediate_tables(documents.sparkSession):
+        return _stored(documents, source, root, policy, stamp or timestamp(), rejects)
+
+
+def _stored(
+    documents: DataFrame, source: str, root: str, policy: Policy | None, stamp: str, rejects: DataFrame | None
+) -> CorpusResult:
     spark = documents.sparkSession
-    stamp = stamp or timestamp()
     unique = assign_seq(dedup_exact(documents, order=FILE_ORDER), FILE_ORDER)
     if unique.isEmpty():
         return CorpusResult()

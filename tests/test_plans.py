@@ -179,3 +179,12 @@ def test_rejects_end_a_build_or_are_stored(spark, tmp_path):
     done = corpus.build_corpus(spark, str(tmp_path / "docs"), str(tmp_path / "out"), stamp="now", accept_rejects=True)
     assert done.documents == 1 and done.fields["rejected_files"] == 1
     assert spark.read.parquet(str(tmp_path / "out/rejects_now")).first().reason.startswith("broken: ")
+
+
+def test_a_build_leaves_no_intermediate_tables(spark, tmp_path):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.txt").write_text("license")
+    before = set(folder.iterdir())
+    corpus.build_corpus(spark, str(tmp_path / "docs"), str(tmp_path / "out"), POLICY)
+    assert set(folder.iterdir()) == before
