@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.ordering import first_rows
 from quern.sources.lines import read_word_list
+from quern.sources.paths import first_files
 
 DEFAULT_SPLIT = "train"
 # Folder prefixes of stored datasets, the preferred kind first.
@@ -56,7 +57,7 @@ def load_source(
     if order:
         return first_rows(df, max_rows, order)
     place = ("_path", "_block", "_row")
-    placed = df.select(
+    placed = first_files(df, max_rows).select(
         "*",
         F.input_file_name().alias("_path"),
         F.input_file_block_start().alias("_block"),

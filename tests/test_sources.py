@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quern.schemas import FILE_ORDER
 from quern.sources import documents as D
+from quern.sources.paths import first_files
+from quern.sources.registry import SourceRegistry, load_source
 from quern.sources import lines as L
 from quern.sources import registry as R
 
@@ -234,3 +236,17 @@ def test_rejected_files(spark, tmp_path):
     }
     reasons = {os.path.basename(r.path): r.reason for r in D.rejected_files(spark, str(tmp_path), {"pdf": bytes.decode}).collect()}
     assert reasons["broken.docx"].startswith("broken: BadZipFile") and "a.pdf" not in reasons and "big.txt" not in reasons
+
+
+def test_first_rows_read_the_first_files_only(spark, tmp_path):
+    spark.range(1000).repartitionByRange(20, "id").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    part = first_files(df, 130)
+    assert part.count() == 200 and sorted(r.id for r in part.collect()) == list(range(200))
+    assert part.select(F.input_file_name()).distinct().count() == 4
+    assert first_files(df, 5000).count() == 1000
+    grouped = df.groupBy((F.col("id") % 3).alias("k")).count()
+    assert first_files(grouped, 1).count() == 3
+    sources = SourceRegistry()
+    sources.add_parquet("t", str(tmp_path / "t"))
+    assert [r.id for r in load_source(spark, sources, "t", max_rows=60).collect()] == list(range(60))
