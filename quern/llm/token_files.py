@@ -37,6 +37,12 @@ SCHEMA = "part int, chunk int, start long, doc_ids array<long>, counts array<lon
 # Words of up to so many characters are encoded once per Python worker, up to so many of them.
 MEMO_WORDS, MEMO_CHARS = 300_000, 64
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
+WORD_END = "</w>"
+# Fixed value: the tokenizer's words in lower-case Latin-1 texts, with the letters, numbers and blanks spelled out.
+LATIN_WORDS = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    r"|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe\x09-\x0d\x20\x85\xa0]+"
+)
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
@@ -150,50 +156,134 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-_memos: dict[str, tuple[object, dict[str, bytes]]] = {}
+LETTER, NUMBER, BLANK, SIGN = range(4)
+RUN_KINDS = np.full(256, SIGN, dtype=np.uint8)
+RUN_KINDS[[*range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = LETTER
+RUN_KINDS[[*range(0x30, 0x3A), 0xB2, 0xB3, 0xB9, *range(0xBC, 0xBF)]] = NUMBER
+RUN_KINDS[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0]] = BLANK
 
 
-def encoder(path: str):
-    """A function from a list of texts to their ids as little-endian 32-bit bytes.
+def _is_latin(text: str) -> bool:
+    if "<|" in text:  # may begin a special token, which is found before anything else
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
-    The tokenizer's normalisation and splitting never look across ASCII white space, so a text's ids are those of
-    its words in turn, and a word met before is not encoded again.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    if path not in _memos:
-        _memos[path] = (Tokenizer.from_file(path), {})
-    tokenizer, memo = _memos[path]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [SPACES.split(text) for text in texts]
-        fresh = {w for words in split for w in words if w not in memo}
-        known = memo
-        if fresh:
-            fresh = list(fresh)
-            ids = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            new = dict(zip(fresh, ids, strict=True))
-            if len(memo) < MEMO_WORDS:
-                memo.update((w, i) for w, i in new.items() if len(w) <= MEMO_CHARS)
-            known = _Both(memo, new)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-    return encode
 
+class Encoder:
+    """Texts to their ids as little-endian 32-bit bytes, one by one equal to the tokenizer's own.
 
-class _Both(dict):
-    """The new words, and the memo for all others."""
-
-    def __init__(self, memo: dict[str, bytes], new: dict[str, bytes]):
-        super().__init__(new)
-        self._memo = memo
-
-    def __missing__(self, word: str) -> bytes:
-        return self._memo[word]
-
+    For ``word_bpe_49k`` and others with its normalisation (NFC, lower case) and splitting: a text of Latin-1 letters is
+    cut into the tokenizer's own words here, any other at ASCII white space, across which
+    the tokenizer never looks. A word met before is not encoded again; new ones go to the tokenizer many at once, where a
+    token with the mark of a word's end closes each.
+    """
 
-TEXTS_AT_ONCE = 256
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith(WORD_END)
+        self.memo: dict[str | bytes, bytes] = {"": b""}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain, other = [], []
+        for i, text in enumerate(texts):
+            (plain if _is_latin(text) and "'" not in text else other).append(i)
+        for i, ids in zip(plain, self._runs([texts[i] for i in plain]), strict=True):
+            out[i] = ids
+        for i, ids in zip(other, self._one_by_one([texts[i] for i in other]), strict=True):
+            out[i] = ids
+        return out
+
+    def _runs(self, texts: list[str]) -> Iterator[bytes]:
+        """Latin-1 texts without apostrophes: words are runs of letters, single numbers and runs of other signs."""
+        data = "\n".join([*texts, ""]).lower().encode("latin-1")
+        kind = RUN_KINDS[np.frombuffer(data, np.uint8)]
+        first = np.ones(len(kind) + 1, dtype=bool)
+        first[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        borders = np.flatnonzero(first).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(borders), pa.py_buffer(data)])
+        coded = runs.dictionary_encode()
+        known = self.memo
+        words = coded.dictionary.to_pylist()
+        blank = [RUN_KINDS[w[0]] == BLANK for w in words]
+        fresh = [w for w, b in zip(words, blank, strict=True) if not b and w not in known]
+        found = self._words([w.decode("latin-1") for w in fresh])
+        new = {w: found[w.decode("latin-1")] for w in fresh}
+        values = [b"" if b else new[w] if w in new else known[w] for w, b in zip(words, blank, strict=True)]
+        if len(known) <= MEMO_WORDS:
+            known.update((w, i) for w, i in new.items() if len(w) <= MEMO_CHARS)
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        begins = np.cumsum(sizes) - sizes
+        of = coded.indices.to_numpy()
+        size = sizes[of]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat(begins[of] - upto[:-1], size) + np.arange(upto[-1])
+        ids = np.frombuffer(b"".join(values), "<u4")[place]
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        ends = np.cumsum(lengths + 1)
+        # The line end after a text may share a run of blanks with it, which has no ids either way.
+        stops = upto[np.searchsorted(borders, ends, side="left").clip(max=len(upto) - 1)]
+        at = 0
+        for stop in stops.tolist():
+            yield ids[at:stop].tobytes()
+            at = stop
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        latin = [_is_latin(text) for text in texts]
+        split = [LATIN_WORDS.findall(t.lower()) if plain else SPACES.split(t) for t, plain in zip(texts, latin, strict=True)]
+        memo = self.memo
+        words = {w for found, plain in zip(split, latin, strict=True) if plain for w in set(found)} - memo.keys()
+        chunks = {w for found, plain in zip(split, latin, strict=True) if not plain for w in set(found)} - memo.keys()
+        fresh = self._words(list(words)) | self._chunks(list(chunks - words))
+        memo |= fresh
+        out = [b"".join(map(memo.__getitem__, found)) for found in split]
+        full = len(memo) > MEMO_WORDS
+        for word in fresh:
+            if full or len(word) > MEMO_CHARS:
+                del memo[word]
+        return out
+
+    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
+        return {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(chunks, found, strict=True)}
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        out: dict[str, bytes] = {}
+        for group, found in zip(groups, self.tokenizer.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) != len(group) or ends[-1] != 4 * len(ids):
+                out |= self._chunks(group)
+                continue
+            data = ids.tobytes()
+            begin = 0
+            for word, end in zip(group, ends.tolist(), strict=True):
+                out[word] = data[begin:end]
+                begin = end
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The tokenizer's encoder, one for each Python worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+TEXTS_AT_ONCE = 1024
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> None:
