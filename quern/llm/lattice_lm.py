@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.text_bytes import U64, SpanHash
+from quern.llm.text_bytes import U64, SpanHash, mix
 from quern.session import materialise
 
 ROUNDS = 3
@@ -106,27 +106,38 @@ class Recursion:
             left = left[held[slot] != left]
             shift -= 11
 
-    def _piece(self, hashes: np.ndarray) -> np.ndarray:
-        """Index of the piece with each hash, or -1."""
-        found = np.full(len(hashes), -1, dtype=np.int32)
+    def _pieces(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, pieces) of the hashes that are pieces.
+
+        A piece stands in a later level only if another has its slot in those before.
+        """
+        rows, found, left = [], [], None
         for shift, held, keys in self.levels:
-            at = held[((hashes >> U64(shift)) & U64((1 << _SLOTS) - 1)).astype(np.int64)]
-            hit = (at >= 0) & (keys[at] == hashes)
-            found[hit] = at[hit]
-        return found
+            here = hashes if left is None else hashes[left]
+            slot = here >> U64(shift)
+            at = held[(slot if shift + _SLOTS == 64 else slot & U64((1 << _SLOTS) - 1)).astype(np.int64)]
+            taken = np.flatnonzero(at >= 0)
+            at = at[taken]
+            hit = keys[at] == here[taken]
+            place = taken if left is None else left[taken]
+            rows.append(place[hit])
+            found.append(at[hit])
+            left = place[~hit]
+            if not len(left):
+                break
+        return (rows[0], found[0]) if len(rows) == 1 else (np.concatenate(rows), np.concatenate(found))
 
     def _edges(self, words: list[bytes], length: int):
         """For words of one length, (begin, end, rows, pieces) of all pieces in them."""
         span = SpanHash(np.frombuffer(b"".join(words), np.uint8))
-        base = np.arange(len(words)) * length
+        upto, scale = span.columns(len(words), length)
         for end in range(1, length + 1):
             for size in self.lengths:
                 if size > end:
                     break
-                piece = self._piece(span(base + (end - size), base + end))
-                rows = np.flatnonzero(piece >= 0)
+                rows, piece = self._pieces(mix((upto[end] - upto[end - size]) * scale[end - size]))
                 if len(rows):
-                    yield end - size, end, rows, piece[rows]
+                    yield end - size, end, rows, piece
 
     def _together(self, words: list[bytes], length: int, counts: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
         forward = np.full((length + 1, len(words)), -np.inf)
@@ -139,11 +150,13 @@ class Recursion:
         if counts is not None:
             backward = np.full((length + 1, len(words)), -np.inf)
             backward[length] = 0.0
+            shares = []
             for begin, end, rows, piece in reversed(edges):
                 through = self.logs[piece] + backward[end, rows]
                 backward[begin, rows] = np.logaddexp(backward[begin, rows], through)
-                share = np.exp(forward[begin, rows] + through - forward[length, rows]) * counts[rows]
-                expected += np.bincount(piece, share, minlength=len(expected))
+                shares.append(np.exp(forward[begin, rows] + through - forward[length, rows]) * counts[rows])
+            used = np.concatenate([piece for _, _, _, piece in reversed(edges)])
+            expected += np.bincount(used, np.concatenate(shares), minlength=len(expected))
         return forward[length]
 
     def _alone(self, word: bytes, count: float | None, expected: np.ndarray | None) -> float:

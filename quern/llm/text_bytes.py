@@ -59,6 +59,14 @@ class SpanHash:
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._prefix[ends] - self._prefix[starts]) * self._down[starts])
 
+    def columns(self, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For a buffer of ``n`` spans of one length, the terms of hashes of their parts: the hash from byte i to byte k
+        of all spans is ``mix((a[k] - a[i]) * b[i])``."""
+        upto = np.empty((length + 1, n), dtype=U64)
+        upto[:length] = self._prefix[:-1].reshape(n, length).T
+        upto[length] = self._prefix[length::length]
+        return upto, np.ascontiguousarray(self._down[: n * length].reshape(n, length).T)
+
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, borders): runs of texts as one buffer; nulls count as empty."""
