@@ -5,8 +5,9 @@ template. Windows of templates are hashed and joined with those of the benchmark
 then checked: the benchmark's values must map to the document's one to one, as they do when a question was
 filled in anew and do not when a template fits by chance.
 
-Only DataFrame functions run here. A name is a run of capitalised words inside a sentence, so a word that
-starts one is a plain word; letters are compared in lower case.
+Only DataFrame functions run here. A text has two views. In the first a name is a run of capitalised words
+inside a sentence, so a word that starts one is a plain word. The second has the words and numbers as they are, so that copies are
+found whatever their letters' case. Letters are compared in lower case. What is found in either view counts.
 """
 
 from __future__ import annotations
@@ -26,42 +27,70 @@ LITERALS = 4
 BROADCAST_ROWS = 500_000
 
 UNITS = (
-    "mm cm dm km m mg kg g t ml cl dl l s ms min h hr hrs sec secs am pm years year days day hours hour minutes minute weeks week "
+    "mm cm dm km m mg kg g t ml cl dl l s ms min mins h hr hrs sec secs am pm years year days day hours hour minutes minute weeks week "
     "months month miles mile meters meter metres metre inches inch feet foot ft in lb lbs oz kmh mph kwh kw w v hz ghz mhz gb mb kb tb "
-    "dollars dollar cents cent euros euro pounds pound percent"
+    "dollars dollar cents cent euros euro pounds pound percent "
 ).split()
-_NAME = r"\p{Lu}(?<=[\p{L}\p{N},;:] .)\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
+# Shorter ones are words too ("in", "am"), so they need a number before them.
+FREE_UNIT_LETTERS = 3
+_CAPITAL = r"\p{Ll}[\p{L}\p{M}]*(?: \p{Lu}\p{Ll}[\p{L}\p{M}]*)*"
+_NAME = r"\p{Lu}(?<=[\p{L}\p{N},;:] .)" + _CAPITAL
+_ANY_NAME = r"(?<![\p{L}\p{M}])\p{Lu}" + _CAPITAL
 _NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-_UNIT = rf"(?:(?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])|[%€$£°])"
+_SIGNS = "%€$£°"
+_UNIT = rf"(?:(?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])|[{_SIGNS}])"
+# In lower case only, so that it is never found inside a name.
+_FREE_UNIT = (
+    rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(sorted((u for u in UNITS if len(u) >= FREE_UNIT_LETTERS), key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])"
+)
+# Letters, or numbers, or a sign after a number: what both templates' tokens consist of.
+_ATOM = rf"{_NUMBER}|[\p{{L}}\p{{M}}]+|(?<=\p{{Nd}}|\p{{Nd}} )[{_SIGNS}]"
 # Private characters: number, name and unit; begin and end of a value.
 NUMBER, NAME, UNIT, OPEN, CLOSE = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
-_KINDS = {NAME: "p", NUMBER: "n", UNIT: "u"}
+_BLANK = "     "
+STRICT, LOOSE, PLAIN = "strict", "loose", "plain"
+VIEWS = (STRICT, PLAIN)
 
 
-def _template(text: Column) -> Column:
+def _template(text: Column, view: str) -> Column:
     """The text with placeholders, of the same tokens in the same order as ``_valued``."""
-    text = F.regexp_replace(F.translate(text, NUMBER + NAME + UNIT + OPEN + CLOSE, "     "), _NAME, f" {NAME} ")
+    text = F.regexp_replace(F.translate(text, NUMBER + NAME + UNIT + OPEN + CLOSE, _BLANK), _ANY_NAME if view == LOOSE else _NAME, f" {NAME} ")
     text = F.regexp_replace(text, f"({_NUMBER})( ?)({_UNIT})", f" {NUMBER} {UNIT} ")
-    return F.lower(F.regexp_replace(text, _NUMBER, f" {NUMBER} "))
+    text = F.regexp_replace(text, _NUMBER, f" {NUMBER} ")
+    return F.lower(F.regexp_replace(text, _FREE_UNIT, f" {UNIT} ") if view == LOOSE else text)
 
 
-def _valued(text: Column) -> Column:
+def _valued(text: Column, view: str) -> Column:
     """The text with every placeholder's value between marks."""
-    text = F.regexp_replace(F.translate(text, NUMBER + NAME + UNIT + OPEN + CLOSE, "     "), _NAME, f" {OPEN}p$0{CLOSE} ")
+    names = _ANY_NAME if view == LOOSE else _NAME
+    text = F.regexp_replace(F.translate(text, NUMBER + NAME + UNIT + OPEN + CLOSE, _BLANK), names, f" {OPEN}p$0{CLOSE} ")
     text = F.regexp_replace(text, f"({_NUMBER})( ?)({_UNIT})", f" {OPEN}n$1{CLOSE} {OPEN}u$3{CLOSE} ")
-    return F.lower(F.regexp_replace(text, rf"(?<!{OPEN}n|\p{{Nd}}|\p{{Nd}}[.,:/]){_NUMBER}", f" {OPEN}n$0{CLOSE} "))
+    text = F.regexp_replace(text, rf"(?<!{OPEN}n|\p{{Nd}}|\p{{Nd}}[.,:/]){_NUMBER}", f" {OPEN}n$0{CLOSE} ")
+    return F.lower(F.regexp_replace(text, _FREE_UNIT, f" {OPEN}u$0{CLOSE} ") if view == LOOSE else text)
 
 
-def template_tokens(text: Column) -> Column:
+def template_tokens(text: Column, view: str = STRICT) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    if view == PLAIN:
+        text = F.lower(F.translate(text, NUMBER + NAME + UNIT + OPEN + CLOSE, _BLANK))
+        return F.regexp_extract_all(text, F.lit(_ATOM), F.lit(0))
     gaps = rf"[^\p{{L}}\p{{M}}{NUMBER}{NAME}{UNIT}]+"
-    return F.array_remove(F.split(_template(F.coalesce(text, F.lit(""))), gaps), "")
+    return F.array_remove(F.split(_template(text, view), gaps), "")
 
 
-def valued_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(_valued(F.coalesce(text, F.lit(""))), F.lit(rf"{OPEN}[^{CLOSE}]*{CLOSE}|[\p{{L}}\p{{M}}]+"), F.lit(0))
+def valued_tokens(text: Column, view: str = STRICT) -> Column:
+    if view == PLAIN:
+        return template_tokens(text, view)
+    return F.regexp_extract_all(_valued(F.coalesce(text, F.lit("")), view), F.lit(rf"{OPEN}[^{CLOSE}]*{CLOSE}|[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 
-def _windows(tokens: Column, width: int) -> Column:
+def _owners(values: Column) -> Column:
+    """For each word or number of a text the place of the token that holds it; a name can hold several."""
+    holds = lambda v: F.when(v.startswith(OPEN + "p"), F.size(F.split(v, " "))).otherwise(1)
+    return F.flatten(F.transform(values, lambda v, i: F.array_repeat(i, holds(v))))
+
+
+def _windows(tokens: Column, width: Column | int) -> Column:
     """Hashes of all windows of ``width`` tokens, in order; empty where there are fewer tokens."""
     starts = F.sequence(F.lit(1), F.size(tokens) - (width - 1))
     hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, width)))
@@ -84,80 +113,153 @@ def _same_row(left: DataFrame, right: DataFrame) -> Column:
 
 
 def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, item_id, shift, starts): windows in common, by alignment.
+    """(doc_id, text_hash, item_id, item_hash, view, shift, starts, width): windows in common, by alignment.
 
     Items shorter than a window are looked for in windows of their own length.
     """
-    sizes = [r["width"] for r in items.select(F.least(F.size("tokens"), F.lit(WINDOW)).alias("width")).distinct().where("width > 0").orderBy("width").collect()]
-    keyed = _keyed(docs)
-    hits = None
-    for width in sizes:
-        own = items.where(F.size("tokens") >= WINDOW if width == WINDOW else F.size("tokens") == width)
-        known = own.select("item_id", F.posexplode_outer(_windows(F.col("tokens"), width)).alias("start", "hash"))
-        known = _small(materialise(known, "item-windows"))
-        tokens = keyed.select("doc_id", "text_hash", template_tokens(F.col("text")).alias("tokens"))
-        rows = tokens.select("doc_id", "text_hash", _windows(F.col("tokens"), width).alias("hashes"))
-        # An inner explode would get a filter on its array, which evaluates the tokens once for each window.
-        rows = rows.select("doc_id", "text_hash", F.posexplode_outer("hashes").alias("at", "hash")).join(known, "hash")
-        found = rows.groupBy("doc_id", "text_hash", "item_id", (F.col("at") - F.col("start")).alias("shift")).agg(
-            F.collect_set("start").alias("starts")
-        )
-        found = found.withColumn("width", F.lit(width))
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        empty = keyed.select("doc_id", "text_hash", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("shift"))
-        hits = empty.select("*", F.array(F.lit(0)).alias("starts"), F.lit(0).alias("width")).where("false")
-    return materialise(hits, "item-hits")
+    known = None
+    for view in VIEWS:
+        own = items.select("item_id", "item_hash", F.lit(view).alias("view"), F.col(f"{view}_tokens").alias("tokens"))
+        own = own.withColumn("width", F.least(F.size("tokens"), F.lit(WINDOW))).where("width > 0")
+        own = own.select("item_id", "item_hash", "view", "width", F.posexplode_outer(_windows(F.col("tokens"), F.col("width"))).alias("start", "hash"))
+        known = own if known is None else known.unionByName(own)
+    known = materialise(known, "item-windows")
+    sizes = sorted((r["view"], r["width"]) for r in known.select("view", "width").distinct().collect())
+    tokens = _keyed(docs).select("doc_id", "text_hash", *(template_tokens(F.col("text"), view).alias(view) for view in VIEWS))
+    windows = [F.struct(F.lit(v).alias("view"), F.lit(w).alias("width"), _windows(F.col(v), w).alias("hashes")) for v, w in sizes]
+    if not windows:
+        windows = [F.struct(F.lit(PLAIN).alias("view"), F.lit(0).alias("width"), F.array(F.lit(0).cast("long")).alias("hashes"))]
+    rows = tokens.select("doc_id", "text_hash", F.inline_outer(F.array(*windows)))
+    # An inner explode would get a filter on its array, which evaluates the tokens once for each window.
+    rows = rows.select("doc_id", "text_hash", "view", "width", F.posexplode_outer("hashes").alias("at", "hash"))
+    rows = rows.join(_small(known), ["hash", "view", "width"])
+    found = rows.groupBy("doc_id", "text_hash", "item_id", "item_hash", "view", "width", (F.col("at") - F.col("start")).alias("shift")).agg(
+        F.collect_set("start").alias("starts")
+    )
+    return materialise(found, "item-hits")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and benchmark item that stands in it: doc_id, text_hash, item_id, n_tokens,
-    n_item_tokens, n_slots, n_changed.
+def _tokens_of(starts: str) -> Column:
+    """The places of the tokens in windows that begin at ``starts``, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + F.col("width") - 1)))))
 
-    ``n_tokens`` counts the item's tokens found on consistent alignments, ``n_slots`` the placeholders among
-    them and ``n_changed`` those with another value than in the item. Null, empty and wordless texts
-    have no rows; repeated rows of ``docs`` give one. Items are held by item_id; of repeated ids all texts count.
+
+def _copied(hits: DataFrame, items: DataFrame) -> DataFrame:
+    """Alignments of the plain view: (..., found, n_slots, n_changed), found being places of words and numbers.
+
+    Numbers alone, or with few words, do not tell an item unless it is whole.
+    """
+    rows = hits.join(items.select("item_id", "item_hash", F.col("plain_tokens").alias("tokens")), ["item_id", "item_hash"])
+    rows = rows.withColumn("found", _tokens_of("starts"))
+    words = F.filter("found", lambda p: F.get("tokens", p).rlike(r"^[\p{L}\p{M}]"))
+    told = (F.size(words) >= LITERALS) | (F.size("found") == F.size("tokens"))
+    return rows.select("doc_id", "text_hash", "item_id", "item_hash", "view", F.when(told, F.col("found")).alias("found"), F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed"))
+
+
+def _fitting(docs: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
+    """Alignments of the views with placeholders, without the windows whose slots do not fit: as ``_copied``.
+
+    No filter stands between the steps, as it would repeat all steps before it.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
-    items = items.select("item_id", template_tokens(F.col("item_text")).alias("tokens"), valued_tokens(F.col("item_text")).alias("item_values"))
-    items = materialise(items.where(F.size("tokens") > 0).distinct(), "items")
-    hits = _matches(docs, items)
     wanted = _small(hits.select("doc_id", "text_hash").distinct())
     keyed = _keyed(docs)
     texts = keyed.join(wanted, _same_row(keyed, wanted), "left_semi")
-    texts = texts.select("doc_id", "text_hash", valued_tokens(F.col("text")).alias("doc_values")).dropDuplicates(["doc_id", "text_hash"])
-    values = items.select("item_id", "item_values")
-    rows = hits.join(texts, _same_row(hits, texts)).drop(texts["doc_id"]).drop(texts["text_hash"]).join(values, "item_id")
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("width") - 1)))))
-    rows = rows.withColumn("covered", covered)
-    pairs = F.transform(
-        "covered",
+    views = [F.struct(F.lit(v).alias("view"), valued_tokens(F.col("text"), v).alias("doc_values")) for v in (STRICT,)]
+    texts = texts.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline_outer(F.array(*views)))
+    views = [F.struct(F.lit(v).alias("view"), F.col(f"{v}_values").alias("item_values"), F.col(f"{v}_owners").alias("owners")) for v in (STRICT,)]
+    known = items.select("item_id", "item_hash", "n_item_tokens", F.inline_outer(F.array(*views)))
+    rows = hits.join(texts, _same_row(hits, texts) & (hits["view"] == texts["view"])).drop(texts["doc_id"]).drop(texts["text_hash"]).drop(texts["view"])
+    rows = rows.join(known, ["item_id", "item_hash", "view"])
+    paired = lambda places: F.transform(
+        places,
         lambda p: F.struct(
             p.alias("at"), F.get("item_values", p).alias("ours"), F.get("doc_values", p + F.col("shift")).alias("theirs")
         ),
     )
-    rows = rows.withColumn("pairs", pairs)
-    slots = F.filter("pairs", lambda p: p["ours"].startswith(OPEN))
+    slots = F.filter(paired(_tokens_of("starts")), lambda p: p["ours"].startswith(OPEN))
     rows = rows.withColumn("slots", slots)
-    mapped = F.array_distinct(F.transform("slots", lambda p: F.struct(p["ours"].alias("a"), p["theirs"].alias("b"))))
-    names = F.filter("mapped", lambda m: m["a"].startswith(OPEN + "p"))
-    rows = rows.withColumn("mapped", mapped).withColumn("names", names)
-    changed = F.filter("slots", lambda p: ~p["ours"].eqNullSafe(p["theirs"]))
-    one_to_one = (F.size("mapped") == F.size(F.array_distinct(F.transform("mapped", lambda m: m["a"])))) & (
-        F.size("names") == F.size(F.array_distinct(F.transform("names", lambda m: m["b"])))
-    )
-    kinds = F.forall("slots", lambda p: F.substring(p["ours"], 1, 2).eqNullSafe(F.substring(p["theirs"], 1, 2)))
-    literal = F.size("covered") - F.size("slots")
-    rows = rows.withColumn("n_changed", F.size(changed))
-    rows = rows.where(one_to_one & kinds & ((literal >= LITERALS) | (F.col("n_changed") == 0)))
-    rows = rows.select("doc_id", "text_hash", "item_id", "covered", F.size("item_values").alias("n_item_tokens"), F.size("slots").alias("n_slots"), "n_changed")
-    by_item = rows.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n_tokens"),
-        F.max("n_item_tokens").alias("n_item_tokens"),
-        F.max("n_slots").alias("n_slots"),
-        F.max("n_changed").alias("n_changed"),
+    word = lambda v: v.substr(F.lit(3), F.length(v) - 3)
+    named = F.filter("slots", lambda p: (F.col("view") == LOOSE) & p["ours"].startswith(OPEN + "p"))
+    for side in ("ours", "theirs"):
+        rows = rows.withColumn(f"{side}_names", F.array_sort(F.array_distinct(F.transform(named, lambda p: F.struct(F.length(p[side]).alias("n"), word(p[side]).alias("name"))))))  # noqa: B023
+
+    def known_as(p: Column, side: str) -> Column:
+        """A run that begins a sentence can hold a word before the name ("So Olga"): the shortest name that ends it."""
+        ends = F.filter(f"{side}_names", lambda x: F.concat(F.lit(" "), word(p[side])).endswith(F.concat(F.lit(" "), x["name"])))
+        name = F.concat(F.substring(p[side], 1, 2), F.get(ends, F.lit(0))["name"], F.lit(CLOSE))
+        return F.when(p["ours"].startswith(OPEN + "p"), F.coalesce(name, p[side])).otherwise(p[side])
+
+    fields = lambda p: F.struct(*(p[c].alias(c) for c in ("at", "ours", "theirs")), known_as(p, "ours").alias("a"), known_as(p, "theirs").alias("b"))
+    rows = rows.withColumn("slots", F.transform("slots", fields))
+    mapped = F.array_distinct(F.transform("slots", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
+    rows = rows.withColumn("mapped", mapped)
+    rows = rows.withColumn("ours", F.transform("mapped", lambda m: m["a"]))
+    rows = rows.withColumn("theirs", F.transform(F.filter("mapped", lambda m: m["a"].startswith(OPEN + "p")), lambda m: m["b"]))
+    twice = lambda c: F.array_distinct(F.filter(c, lambda x: F.size(F.filter(c, lambda y: y == x)) > 1))
+    rows = rows.withColumn("ours", twice("ours")).withColumn("theirs", twice("theirs"))
+
+    def misfit(p: Column) -> Column:
+        kind = ~F.substring(p["ours"], 1, 2).eqNullSafe(F.substring(p["theirs"], 1, 2))
+        named = p["ours"].startswith(OPEN + "p") & F.array_contains("theirs", p["b"])
+        unfit = kind | F.array_contains("ours", p["a"]) | named
+        # A word that also stands in lower case begins a sentence, and in so few words it tells the item.
+        plain = lambda v: F.array_contains("item_values", word(v)) | F.array_contains("doc_values", word(v))
+        short = (F.col("view") == LOOSE) & (F.col("n_item_tokens") < ENOUGH) & p["ours"].startswith(OPEN + "p") & (p["ours"] != p["theirs"])
+        return unfit | (short & (plain(p["ours"]) | plain(p["theirs"])))
+
+    changed = lambda p: ~p["ours"].eqNullSafe(p["theirs"])
+    rows = rows.withColumn("unfit", F.transform(F.filter("slots", misfit), lambda p: p["at"]))
+    rows = rows.withColumn("changed", F.transform(F.filter("slots", changed), lambda p: p["at"]))
+    kept = F.filter("starts", lambda s: F.size("unfit") == 0)
+    rows = rows.withColumn("starts", kept).withColumn("covered", _tokens_of("starts"))
+    rows = rows.withColumn("slots", F.array_intersect("covered", F.transform("slots", lambda p: p["at"])))
+    rows = rows.withColumn("changed", F.array_intersect("covered", "changed"))
+    told = (F.size("starts") > 0) & ((F.size("covered") - F.size("slots") >= LITERALS) | (F.size("changed") == 0))
+    first = F.transform("covered", lambda p: F.array_position("owners", p) - 1)
+    length = lambda p: F.when(F.get("item_values", p).startswith(OPEN + "p"), F.size(F.split(F.get("item_values", p), " "))).otherwise(1)
+    found = F.flatten(F.zip_with(first, "covered", lambda i, p: F.sequence(i, i + length(p) - 1)))
+    found = F.transform(found, lambda i: i.cast("int"))
+    counts = [F.when(told, F.size(c)).otherwise(0).alias(f"n_{c}") for c in ("slots", "changed")]
+    return rows.select("doc_id", "text_hash", "item_id", "item_hash", "view", F.when(told, found).alias("found"), *counts)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each document and benchmark item that stands in it: doc_id, text_hash, item_id, n_tokens,
+    n_item_tokens, n_slots, n_changed.
+
+    ``n_tokens`` counts the item's tokens found on consistent alignments of the first view where these are enough, and
+    else those found in any view; ``n_slots`` counts the placeholders on one alignment and ``n_changed`` those with another value than in the item, at most. Null, empty and wordless texts
+    have no rows; repeated rows of ``docs`` give one. Items are held by item_id; of repeated ids all texts count.
+    """
+    items = benchmark.select(
+        F.col("item_id").cast("long").alias("item_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("item_hash"), F.col("text").alias("item_text")
+    ).distinct()
+    text = F.col("item_text")
+    for view in VIEWS:
+        items = items.withColumn(f"{view}_tokens", template_tokens(text, view))
+        if view != PLAIN:
+            items = items.withColumn(f"{view}_values", valued_tokens(text, view))
+            items = items.withColumn(f"{view}_owners", _owners(F.col(f"{view}_values")))
+    items = items.withColumn("n_item_tokens", F.size(f"{STRICT}_tokens")).drop("item_text")
+    items = materialise(items.where("n_item_tokens > 0"), "items")
+    hits = _matches(docs, items)
+    placed = hits.where(hits["view"] != PLAIN)
+    rows = _copied(hits.where(hits["view"] == PLAIN), items).unionByName(_fitting(docs, placed, items))
+    by_item = rows.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(
+        F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("view") == STRICT, F.col("found"))))).alias("found_strict"),
+        F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed")
     )
-    return by_item.where(F.col("n_tokens") >= F.least(F.lit(ENOUGH), F.col("n_item_tokens")))
+    by_item = by_item.join(items.select("item_id", "item_hash", "n_item_tokens", F.col(f"{STRICT}_owners").alias("owners")), ["item_id", "item_hash"])
+    # A token is found with all its words.
+    missing = lambda c: F.array_except(F.sequence(F.lit(0), F.size("owners") - 1), c)
+    tokens = lambda c: F.col("n_item_tokens") - F.size(F.array_distinct(F.transform(missing(c), lambda i: F.get("owners", i))))
+    enough = F.least(F.lit(ENOUGH), F.col("n_item_tokens"))
+    by_item = by_item.withColumn("n_strict", tokens("found_strict")).withColumn("n_all", tokens("found"))
+    by_item = by_item.withColumn("n_tokens", F.when(F.col("n_strict") >= enough, F.col("n_strict")).otherwise(F.col("n_all")))
+    by_item = by_item.where(F.col("n_tokens") >= enough)
+    best = F.max_by(F.struct("n_tokens", "n_item_tokens", "n_slots", "n_changed"), F.struct("n_tokens", "item_hash"))
+    return by_item.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("best")).select("doc_id", "text_hash", "item_id", "best.*")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

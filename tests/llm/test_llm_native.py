@@ -92,6 +92,19 @@ def test_short_items_and_numbers(spark):
     assert leak_pairs(spark, [], items) == {} and leak_pairs(spark, texts, []) == {}
 
 
+def test_copies_in_another_case(spark):
+    """A name's placeholder depends on what stands before it; a copy is one in any case and after any sign."""
+    short = "What is the capital of France and its population"
+    capital = "What is the capital of France"
+    texts = [f"Question: {short}", f"Question: {capital}?", QUESTION.lower(), QUESTION.title(), QUESTION.upper(), "Question: What is the capital"]
+    got = leak_pairs(spark, texts, [short, capital, QUESTION])
+    assert set(got) == {(0, 0), (0, 1), (1, 1), (2, 2), (3, 2), (4, 2)}
+    assert got[2, 2].n_tokens == got[2, 2].n_item_tokens == 22
+    # Half of the copy in lower case, the other half with other names: tokens of both views add up.
+    half = QUESTION[:48].lower() + QUESTION[48:].replace("Tom", "Eve")
+    assert set(leak_pairs(spark, [half], [QUESTION])) == {(0, 0)}
+
+
 def test_leaks_as_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
