@@ -2,8 +2,9 @@
 
 Numbers, names and units become typed placeholders, so that a question with other values has the same
 template. Windows of templates are hashed and joined with those of the benchmark. Hits on one alignment are
-then checked: the benchmark's values must map to the document's one to one, as they do when a question was
-filled in anew and do not when a template fits by chance.
+then checked: names must map to the document's one to one and units to one each, as they do when a question was
+filled in anew and do not when a template fits by chance. Numbers may be equal in the benchmark by chance, so
+theirs may differ. Windows that hold a slot that does not fit are left out, others count.
 
 Only DataFrame functions run here. A text has two views. In the first a name is a run of capitalised words
 inside a sentence, so a word that starts one is a plain word. The second has the words and numbers as they are, so that copies are
@@ -192,7 +193,8 @@ def _fitting(docs: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
     fields = lambda p: F.struct(*(p[c].alias(c) for c in ("at", "ours", "theirs")), known_as(p, "ours").alias("a"), known_as(p, "theirs").alias("b"))
     rows = rows.withColumn("slots", F.transform("slots", fields))
     mapped = F.array_distinct(F.transform("slots", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
-    rows = rows.withColumn("mapped", mapped)
+    # Numbers that are equal in the item by chance differ when it is filled in anew.
+    rows = rows.withColumn("mapped", F.filter(mapped, lambda m: ~m["a"].startswith(OPEN + "n")))
     rows = rows.withColumn("ours", F.transform("mapped", lambda m: m["a"]))
     rows = rows.withColumn("theirs", F.transform(F.filter("mapped", lambda m: m["a"].startswith(OPEN + "p")), lambda m: m["b"]))
     twice = lambda c: F.array_distinct(F.filter(c, lambda x: F.size(F.filter(c, lambda y: y == x)) > 1))
@@ -210,7 +212,8 @@ def _fitting(docs: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
     changed = lambda p: ~p["ours"].eqNullSafe(p["theirs"])
     rows = rows.withColumn("unfit", F.transform(F.filter("slots", misfit), lambda p: p["at"]))
     rows = rows.withColumn("changed", F.transform(F.filter("slots", changed), lambda p: p["at"]))
-    kept = F.filter("starts", lambda s: F.size("unfit") == 0)
+    holds = lambda places, s: F.exists(places, lambda p: p.between(s, s + F.col("width") - 1))
+    kept = F.filter("starts", lambda s: ~holds("unfit", s) | ~holds("changed", s))
     rows = rows.withColumn("starts", kept).withColumn("covered", _tokens_of("starts"))
     rows = rows.withColumn("slots", F.array_intersect("covered", F.transform("slots", lambda p: p["at"])))
     rows = rows.withColumn("changed", F.array_intersect("covered", "changed"))

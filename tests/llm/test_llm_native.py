@@ -105,6 +105,16 @@ def test_copies_in_another_case(spark):
     assert set(leak_pairs(spark, [half], [QUESTION])) == {(0, 0)}
 
 
+def test_one_slot_that_does_not_fit(spark):
+    body = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300))
+    item = f"we met Anna at 10 and then {body} and left Anna at 10 again"
+    texts = [item.replace("at 10 again", "at 11 again"), item.replace("left Anna", "left Anna Smith")]
+    got = leak_pairs(spark, texts, [item])
+    assert set(got) == {(0, 0), (1, 0)} and min(r.n_tokens for r in got.values()) >= 300
+    fruit = "the boy has 5 apples and 5 pears so how many does he have"
+    assert set(leak_pairs(spark, [fruit.replace("5 apples", "7 apples").replace("5 pears", "9 pears")], [fruit])) == {(0, 0)}
+
+
 def test_leaks_as_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
