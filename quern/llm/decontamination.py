@@ -6,8 +6,9 @@ then checked: names must map to the document's one to one and units to one each,
 filled in anew and do not when a template fits by chance. Numbers may be equal in the benchmark by chance, so
 theirs may differ. Windows that hold a slot that does not fit are left out, others count.
 
-Only DataFrame functions run here. A text has two views. In the first a name is a run of capitalised words
-inside a sentence, so a word that starts one is a plain word. The second has the words and numbers as they are, so that copies are
+Only DataFrame functions run here. A text has three views. In the first a name is a run of capitalised words
+inside a sentence, so a word that starts one is a plain word. In the second, runs of capitalised words are names
+wherever they stand, and units need no number. The third has the words and numbers as they are, so that copies are
 found whatever their letters' case. Letters are compared in lower case. What is found in either view counts.
 """
 
@@ -31,6 +32,15 @@ UNITS = (
     "mm cm dm km m mg kg g t ml cl dl l s ms min mins h hr hrs sec secs am pm years year days day hours hour minutes minute weeks week "
     "months month miles mile meters meter metres metre inches inch feet foot ft in lb lbs oz kmh mph kwh kw w v hz ghz mhz gb mb kb tb "
     "dollars dollar cents cent euros euro pounds pound percent "
+    "seconds second milliseconds millisecond decades decade centuries century "
+    "millimeters millimeter millimetres millimetre centimeters centimeter centimetres centimetre decimeters decimeter decimetres decimetre "
+    "kilometers kilometer kilometres kilometre yards yard yd yds acres acre hectares hectare ha "
+    "milligrams milligram grams gram kilograms kilogram kilos kilo tonnes tonne tons ton ounces ounce stones stone "
+    "milliliters milliliter millilitres millilitre centiliters centiliter centilitres centilitre deciliters deciliter decilitres decilitre "
+    "liters liter litres litre gallons gallon gal quarts quart qt pints pint pt cups cup tablespoons tablespoon tbsp teaspoons teaspoon tsp "
+    "watts watt kilowatts kilowatt volts volt amperes ampere amps amp hertz joules joule calories calorie kcal degrees degree celsius fahrenheit "
+    "bytes byte bits bit kilobytes kilobyte megabytes megabyte gigabytes gigabyte terabytes terabyte knots knot "
+    "pence penny yen rupees rupee francs franc pesos peso"
 ).split()
 # Shorter ones are words too ("in", "am"), so they need a number before them.
 FREE_UNIT_LETTERS = 3
@@ -50,7 +60,7 @@ _ATOM = rf"{_NUMBER}|[\p{{L}}\p{{M}}]+|(?<=\p{{Nd}}|\p{{Nd}} )[{_SIGNS}]"
 NUMBER, NAME, UNIT, OPEN, CLOSE = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 _BLANK = "     "
 STRICT, LOOSE, PLAIN = "strict", "loose", "plain"
-VIEWS = (STRICT, PLAIN)
+VIEWS = (STRICT, LOOSE, PLAIN)
 
 
 def _template(text: Column, view: str) -> Column:
@@ -165,9 +175,9 @@ def _fitting(docs: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
     wanted = _small(hits.select("doc_id", "text_hash").distinct())
     keyed = _keyed(docs)
     texts = keyed.join(wanted, _same_row(keyed, wanted), "left_semi")
-    views = [F.struct(F.lit(v).alias("view"), valued_tokens(F.col("text"), v).alias("doc_values")) for v in (STRICT,)]
+    views = [F.struct(F.lit(v).alias("view"), valued_tokens(F.col("text"), v).alias("doc_values")) for v in (STRICT, LOOSE)]
     texts = texts.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline_outer(F.array(*views)))
-    views = [F.struct(F.lit(v).alias("view"), F.col(f"{v}_values").alias("item_values"), F.col(f"{v}_owners").alias("owners")) for v in (STRICT,)]
+    views = [F.struct(F.lit(v).alias("view"), F.col(f"{v}_values").alias("item_values"), F.col(f"{v}_owners").alias("owners")) for v in (STRICT, LOOSE)]
     known = items.select("item_id", "item_hash", "n_item_tokens", F.inline_outer(F.array(*views)))
     rows = hits.join(texts, _same_row(hits, texts) & (hits["view"] == texts["view"])).drop(texts["doc_id"]).drop(texts["text_hash"]).drop(texts["view"])
     rows = rows.join(known, ["item_id", "item_hash", "view"])

@@ -115,6 +115,23 @@ def test_one_slot_that_does_not_fit(spark):
     assert set(leak_pairs(spark, [fruit.replace("5 apples", "7 apples").replace("5 pears", "9 pears")], [fruit])) == {(0, 0)}
 
 
+def test_names_that_begin_sentences_and_units(spark):
+    loaves = "Marta bakes 12 loaves each day. Marta sells 9 loaves at noon. Marta eats 2 loaves at night."
+    tank = "A tank holds 20 liters and loses 3 liters each time, so how many liters are left in it"
+    texts = [
+        loaves.replace("Marta", "Olga").replace("12", "15"),
+        loaves.replace("Marta", "Olga Maria").replace("12", "15"),
+        "So " + loaves.replace("Marta", "Olga"),
+        tank.replace("liters", "gallons"),
+        "Marta bakes 12 loaves each day. Olga sells 9 loaves at noon. Eva eats 2 loaves at night.",
+    ]
+    got = leak_pairs(spark, texts, [loaves, tank])
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 1)}
+    assert got[0, 0].n_changed == 4 and got[3, 1].n_changed >= 3
+    # In so few words a sentence's first word is no name if it stands elsewhere in lower case.
+    assert leak_pairs(spark, ["This is the capital of Spain, as this text says"], ["What is the capital of France"]) == {}
+
+
 def test_leaks_as_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
