@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, exact_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, quality, sharding, token_files
+from quern.llm import decontamination, exact_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, periodic_runs, quality, sharding, token_files
 from quern.llm.common import documents, fold
 from quern.session import checkpoint_root
 
@@ -111,3 +111,37 @@ def op4_lattice_score(spark, sf_dir):
     held_out = F.col("fold") == 1
     model = lattice_lm.learn(docs, held_out, public_tokenizers.path("piece_bpe_32k.model"))
     return lattice_lm.score(docs, held_out, model)
+
+
+def _repeated_ends(docs: DataFrame) -> DataFrame:
+    """Texts of which some go on, from a word on, with the words from there over and over, as the id's crc32 says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    docs = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    docs = docs.select("*", F.when(F.col("h") % 10 == 0, words).alias("words"))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    new = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", place(i)))
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(new, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    """Runs of all texts; a tenth of them get a periodic end first."""
+    found = periodic_runs.periodic_runs(_repeated_ends(documents(spark, sf_dir)))
+    # Larger length / period first, compared exactly, then the smaller start, then the smaller period.
+    ratio = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    order = lambda x, y: F.when(ratio(x, y) != 0, -F.signum(ratio(x, y))).when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(x["period"] - y["period"])).cast("int")
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = found.select("doc_id", "n_words", "runs", "collapsed", best.alias("best"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}") for c in ("start", "length", "period")),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )

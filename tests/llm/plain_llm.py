@@ -208,3 +208,25 @@ def shard_loads(rows, shards):
         own.append(rest.pop(key))
         left -= 1
     return own, smallest_capacity([rest[k] for k in sorted(rest)], left) if rest else 0, left
+
+
+# Periodic runs: every period, every stretch
+
+
+def runs(words, least=24, power=3):
+    """(start, length, period) of the stretches with that smallest period that no neighbour extends."""
+    found, n = [], len(words)
+    for q in range(1, n // power + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            part = words[i : j + q]
+            if len(part) >= max(least, power * q) and not any(part[d:] == part[:-d] for d in range(1, q)):
+                found.append((i, len(part), q))
+            i = j
+    return sorted(found, key=lambda r: (r[0], r[2]))
