@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, exact_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, periodic_runs, quality, sharding, token_files
+from quern.llm import centroids, decontamination, exact_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, periodic_runs, quality, sharding, token_files
 from quern.llm.common import documents, fold
 from quern.session import checkpoint_root
 
@@ -113,6 +113,14 @@ def op4_lattice_score(spark, sf_dir):
     return lattice_lm.score(docs, held_out, model)
 
 
+@query
+def op12_centroid_clusters(spark, sf_dir):
+    """Eight clusters of all vectors of 64 components, after ten rounds."""
+    found = centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digest = F.sha2(F.col("centroid").cast("binary"), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 def _repeated_ends(docs: DataFrame) -> DataFrame:
     """Texts of which some go on, from a word on, with the words from there over and over, as the id's crc32 says."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))

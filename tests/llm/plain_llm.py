@@ -7,6 +7,7 @@ import itertools
 import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import regex
 
@@ -230,3 +231,30 @@ def runs(words, least=24, power=3):
                 found.append((i, len(part), q))
             i = j
     return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+# Clusters: all distances anew in every round
+
+
+def clusters(rows, k=8, rounds=10):
+    """(id, cluster, distance, inertia of the cluster, inertia, centroid) for (id, components)."""
+    kept = []
+    for i, x in rows:
+        if x is not None and len(x) == 64 and all(v is not None and math.isfinite(v) for v in x):
+            kept.append((i, [math.floor(Fraction(v) * 1024) for v in x]))
+    first = sorted(kept, key=lambda r: ("none" if r[0] is None else hashlib.sha256(f"3:{r[0]}".encode()).hexdigest(), " ".join(map(str, r[1]))))[:k]
+    centroids = [x for _, x in first]
+
+    def nearest(x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), i) for i, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        of = [nearest(x)[1] for _, x in kept]
+        for c in set(of):
+            own = [x for (_, x), o in zip(kept, of, strict=True) if o == c]
+            centroids[c] = [sum(v) // len(own) for v in zip(*own, strict=True)]
+    of = [nearest(x) for _, x in kept]
+    total = Counter()
+    for d, c in of:
+        total[c] += d
+    return [(i, c, d, total[c], sum(total.values()), ",".join(map(str, centroids[c]))) for (i, _), (d, c) in zip(kept, of, strict=True)]

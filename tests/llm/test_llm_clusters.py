@@ -1,0 +1,84 @@
+"""Clusters against all distances computed anew."""
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import plain_llm as plain
+import pytest
+from conftest import SMALL
+
+from quern.llm import centroids
+from quern.llm.queries import QUERIES
+
+
+def frame(spark, rows, kind="double"):
+    return spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+
+
+def found(df):
+    return sorted((tuple(r) for r in centroids.clustered(df).collect()), key=repr)
+
+
+def vectors(seed, n, centres=12):
+    draw = random.Random(seed)
+    centre = [[draw.uniform(-1, 1) for _ in range(64)] for _ in range(centres)]
+    return [(i, [v + draw.gauss(0, 0.3) for v in draw.choice(centre)]) for i in range(n)]
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 0), (2, 1), (3, 5), (4, 300)])
+def test_clusters_as_brute_force(spark, monkeypatch, seed, n):
+    monkeypatch.setattr(centroids, "BLOCK", 16)
+    rows = vectors(seed, n)
+    assert found(frame(spark, rows).repartition(3)) == sorted(plain.clusters(rows), key=repr)
+
+
+def test_edges(spark):
+    rows = vectors(5, 40)
+    x = rows[3][1]
+    rows += [(100, None), (101, []), (102, x[:63]), (103, x + [0.0]), (104, [None] + x[1:]), (105, [math.nan] + x[1:]), (106, [math.inf] + x[1:])]
+    rows += [(3, x), (3, x), (3, [0.5] * 64), (None, x), (None, [-0.0] * 64), (-7, [1 / 3] * 64)]
+    want = sorted(plain.clusters(rows), key=repr)
+    assert len(want) == 46 and found(frame(spark, rows)) == want
+    named = frame(spark, rows).selectExpr("vec_id", "embedding", "1 as cluster", "'x' as ids", "2 as distance")
+    assert found(named) == want
+
+
+def test_ties_and_empty_clusters(spark):
+    rows = [(i, [float(i % 3)] * 64) for i in range(30)]
+    want = plain.clusters(rows)
+    assert found(frame(spark, rows)) == sorted(want, key=repr) and len({c for _, c, *_ in want}) <= 3
+
+
+def test_without_ids(spark):
+    rows = [(None, x) for _, x in vectors(6, 12)]
+    assert found(frame(spark, rows)) == sorted(plain.clusters(rows), key=repr)
+
+
+def test_large_components(spark, monkeypatch):
+    monkeypatch.setattr(centroids, "BLOCK", 8)
+    rows = vectors(7, 40)
+    rows[5] = (5, [3e5 + i for i in range(64)])  # distances need more than 53 bits
+    rows[6] = (6, [-2e30] * 64)  # and here more than 64
+    rows[8] = (8, [-1e30] * 64)
+    rows[7] = (7, [1e300] + [0.0] * 63)
+    want = [tuple(None if isinstance(v, int) and v >= 1 << 63 else v for v in r) for r in plain.clusters(rows)]
+    assert any(r[2] is None for r in want) and any(r[2] for r in want)
+    assert found(frame(spark, rows)) == sorted(want, key=repr)
+
+
+def test_products_move_with_the_centroids():
+    draw = np.random.default_rng(8)
+    x, old = draw.integers(-5000, 5000, (50, 64)), draw.integers(-5000, 5000, (8, 64))
+    new = old.copy()
+    new[2, 5] += 7
+    new[6] = 0
+    assert (centroids._moved(x, x @ old.T, old, new) == x @ new.T).all()
+
+
+def test_query_as_brute_force(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
+    want = [(*r[:5], hashlib.sha256(r[5].encode()).hexdigest()) for r in plain.clusters(rows)]
+    got = [tuple(r) for r in QUERIES["op12_centroid_clusters"](spark, SMALL).collect()]
+    assert sorted(got) == sorted(want) and got
