@@ -160,7 +160,7 @@ def _round(old: list[list[int]], new: list[list[int]]):
                 x = _load(x, DIMENSIONS)
                 kind = object if wide or x.dtype == object else np.int64
                 x = x.astype(kind)
-                dots = _load(dots, len(new)) if len(dots) > 1 else np.zeros((len(x), len(new)))
+                dots = _load(dots, len(new)) if len(dots) > 1 else np.zeros((len(x), len(new)), np.int64)
                 dots = _moved(x, dots.astype(kind), np.array(old, kind), np.array(new, kind))
                 cluster, distance = _nearest(x, dots, np.array(new, kind))
                 sums = []
