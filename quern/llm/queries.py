@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import centroids, decontamination, exact_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, periodic_runs, quality, sharding, token_files
+from quern.llm import centroids, decontamination, exact_dedup, golay_dedup, language_id, lattice_lm, licenses, mixing, near_dedup, periodic_runs, quality, sharding, token_files
 from quern.llm.common import documents, fold
 from quern.session import checkpoint_root
 
@@ -113,6 +113,13 @@ def op4_lattice_score(spark, sf_dir):
     return lattice_lm.score(docs, held_out, model)
 
 
+@query
+def op11_golay_simhash(spark, sf_dir):
+    """Classes of documents whose fingerprints differ in four bits at most."""
+    found = golay_dedup.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op12_centroid_clusters(spark, sf_dir):
     """Eight clusters of all vectors of 64 components, after ten rounds."""

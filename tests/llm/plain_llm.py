@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import regex
+import xxhash
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -258,3 +259,30 @@ def clusters(rows, k=8, rounds=10):
     for d, c in of:
         total[c] += d
     return [(i, c, d, total[c], sum(total.values()), ",".join(map(str, centroids[c]))) for (i, _), (d, c) in zip(kept, of, strict=True)]
+
+
+# SimHash: all pairs
+
+
+def fingerprint(text, n=4):
+    words = SPACED.findall(lower(text))
+    if not words:
+        return 0
+    found = [xxhash.xxh64_intdigest(" ".join(words[i : i + n]).encode(), 42) for i in range(max(1, len(words) - n + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in found) > len(found))
+
+
+def hamming_classes(values, near):
+    """For each value one value of its component."""
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for a, b in itertools.combinations(values, 2):
+        if (a ^ b).bit_count() <= near:
+            root[find(b)] = find(a)
+    return {v: find(v) for v in values}

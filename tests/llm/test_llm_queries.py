@@ -23,7 +23,7 @@ def connection():
 
 
 def test_keys():
-    assert [name.split("_")[0] for name in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{n}" for n in (*range(1, 11), 12, 13)]
+    assert [name.split("_")[0] for name in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 14)]
     assert set(SQL) <= set(QUERIES) and {*QUERIES, "pipeline"} <= set(contract.queries())
 
 
