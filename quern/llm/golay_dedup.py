@@ -14,10 +14,12 @@ of one is a key of the other, or the changed bits lie in the four that lead to a
 has one row for each pair of keys of two segments, 24 bits each, and joins those with the same pair. What meets is
 verified on all 64 bits.
 
-Equal fingerprints are one node. In a bucket of many nodes all are first held against one of them, which joins most of
-a group of copies; after that only nodes of different components are held against each other, so a group of n copies
-costs its rows and not its pairs. The work left grows with the product of the sizes of distinct components that share
-a bucket; of unrelated fingerprints so many meet as fall on one of 2^24 keys.
+Equal fingerprints are one node. The rows of a bucket come to one task in order of their keys, which holds one bucket
+at a time and passes on links that join it, not its pairs. Buckets of more than ``HEAVY`` rows, as a large group of
+copies makes, are found beforehand by counts and left to joins: all rows are held against one of them, and then only
+rows of different components against each other. So a group of n copies costs its rows and not its pairs there; the
+work left grows with the product of the sizes of distinct components that share a bucket. Of unrelated fingerprints
+so many meet as fall on one of 2^24 keys.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ GENERATOR = 0b101011100011
 # Hashes whose bits are counted at once.
 HASHES_AT_ONCE = 1 << 15
 ROWS_AT_ONCE = 4096
+# A task holds a bucket of up to HEAVY rows; those of up to FEW are compared together.
+HEAVY, FEW = 1 << 14, 32
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -140,18 +144,84 @@ def _near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= NEAR
 
 
-def links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of the distinct fingerprints ``nodes`` with one of each of their buckets, and links between what
-    these leave apart. Both together have the components of all links.
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    # The bits of signed numbers would be those of their absolute values.
+    return np.bitwise_count((a ^ b).view(U64))
+
+
+def _joined(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all nodes of a bucket which lie in one component: a tree for each component."""
+    a, b = [], []
+    unseen = nodes
+    while len(unseen):
+        front, unseen = [unseen[0]], unseen[1:]
+        while front and len(unseen):
+            node = front.pop()
+            near = _differing(unseen, node) <= NEAR
+            if near.any():
+                found, unseen = unseen[near], unseen[~near]
+                a.append(np.full(len(found), node))
+                b.append(found)
+                front.extend(found)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _of_buckets(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the buckets of rows that are sorted by key."""
+    borders = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+    sizes = np.diff(borders)
+    few = np.repeat(sizes <= FEW, sizes)
+    found = [_joined(nodes[borders[i] : borders[i + 1]]) for i in np.flatnonzero(sizes > FEW)]
+    keys, nodes = keys[few], nodes[few]
+    for apart in range(1, FEW):  # rows so far apart in all small buckets at once
+        at = np.flatnonzero(keys[apart:] == keys[:-apart])
+        if not len(at):
+            break
+        at = at[_differing(nodes[at], nodes[at + apart]) <= NEAR]
+        found.append((nodes[at], nodes[at + apart]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within buckets; rows come sorted by key, and the last bucket of a batch may go on in the next."""
+    keys, nodes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def links_of(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _of_buckets(keys, nodes)], names=["a", "b"])
+
+    for batch in batches:
+        keys = np.concatenate([keys, np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int32)])
+        nodes = np.concatenate([nodes, np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)])
+        last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        if last:
+            yield links_of(keys[:last], nodes[:last])
+            keys, nodes = keys[last:], nodes[last:]
+    if len(keys):
+        yield links_of(keys, nodes)
+
+
+def _heavy(rows: DataFrame) -> DataFrame | None:
+    """The keys of more than ``HEAVY`` rows, None if there are none.
+
+    Keys are first counted in groups, of which most together hold less than that.
     """
-    # Nodes are small and their keys many, so the nodes are dealt to as many tasks as the keys will need.
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("node").repartition(tasks, "node").mapInArrow(_keyed, "key int, node long")
+    groups = max(1 << 12, rows.count() // HEAVY * 16)
+    group = F.pmod(F.xxhash64("key"), F.lit(groups))
+    dense = rows.groupBy(group.alias("of")).count().where(F.col("count") > HEAVY).select("of")
+    dense = materialise(dense, "golay-dense")
+    if dense.isEmpty():
+        return None
+    keys = rows.join(dense, group == F.col("of"), "left_semi").groupBy("key").count().where(F.col("count") > HEAVY)
+    return materialise(keys.select("key"), "golay-heavy")
+
+
+def _heavy_links(rows: DataFrame) -> DataFrame:
+    """Links within buckets of any size, by joins: with one node of each bucket, then between other components."""
     # Which node a bucket is held against is drawn, so that a group's nodes do not all choose the same neighbour.
     drawn = F.min(F.struct(F.xxhash64("node").alias("draw"), "node")).alias("first")
-    rows = materialise(rows, "golay-rows")
-    buckets = rows.groupBy("key").agg(drawn, F.count("*").alias("n")).where("n > 1").select("key", F.col("first.node").alias("pivot"))
-    shared = materialise(rows.join(buckets, "key"), "golay-shared")
+    shared = materialise(rows.join(rows.groupBy("key").agg(drawn).select("key", F.col("first.node").alias("pivot")), "key"), "golay-shared")
     star = shared.where("node <> pivot").where(_near("node", "pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     star = materialise(star, "golay-star")
     classes = materialise(components(star), "golay-classes")
@@ -164,9 +234,22 @@ def links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     # The component of a bucket's pivot needs no links within itself.
     other = placed.where("other").select("key", F.col("node").alias("b"), F.col("class").alias("d"))
     every = placed.select("key", F.col("node").alias("a"), F.col("class").alias("c"))
-    open_ = every.join(other.select("key").distinct(), "key", "left_semi")
-    met = open_.join(other.hint("merge"), (open_["key"] == other["key"]) & (F.col("c") != F.col("d")) & _near("a", "b"))
-    return star, materialise(met.select("a", "b").distinct(), "golay-met")
+    met = every.join(other.hint("merge"), (every["key"] == other["key"]) & (F.col("c") != F.col("d")) & _near("a", "b"))
+    return star.unionByName(met.select("a", "b").distinct())
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of the distinct fingerprints ``nodes`` that have the components of all their links."""
+    # Nodes are small and their keys many, so the nodes are dealt to as many tasks as the keys will need.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.select("node").repartition(tasks, "node").mapInArrow(_keyed, "key int, node long")
+    rows = materialise(rows, "golay-rows")
+    heavy = _heavy(rows)
+    light = rows if heavy is None else rows.join(heavy, "key", "left_anti")
+    found = light.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
+    if heavy is not None:
+        found = found.unionByName(_heavy_links(rows.join(heavy, "key", "left_semi")))
+    return materialise(found.distinct(), "golay-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -179,8 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = materialise(fingerprints(docs), "golay-prints")
     nodes = prints.groupBy(F.col("print").alias("node")).agg(F.min("doc_id").alias("least"))
     nodes = materialise(nodes, "golay-nodes")
-    star, met = links(nodes)
-    classes = materialise(components(star if met.isEmpty() else star.unionByName(met)), "golay-components")
+    classes = materialise(components(links(nodes)), "golay-components")
     of = materialise(nodes.join(classes, "node", "left").select("node", "least", F.coalesce("class", "node").alias("class")), "golay-of")
     # Most classes are single nodes, so the sum is over nodes, not over documents.
     least = of.groupBy("class").agg(F.min("least").alias("component_id"))

@@ -50,14 +50,17 @@ def node_frame(spark, values):
     return spark.createDataFrame([(v,) for v in signed], "node long")
 
 
-@pytest.mark.parametrize(("seed", "centres", "n", "flips"), [(1, 40, 600, 3), (2, 3, 300, 6), (3, 1, 400, 9)])
-def test_links_as_all_pairs(spark, seed, centres, n, flips):
+CASES = [(1, 40, 600, 3, 16384), (2, 3, 300, 6, 16384), (3, 1, 400, 9, 16384), (4, 1, 400, 9, 40), (5, 3, 300, 6, 20), (6, 1, 200, 7, 0)]
+
+
+@pytest.mark.parametrize(("seed", "centres", "n", "flips", "heavy"), CASES)
+def test_links_as_all_pairs(spark, monkeypatch, seed, centres, n, flips, heavy):
+    monkeypatch.setattr(golay_dedup, "HEAVY", max(heavy, 1))
     draw = random.Random(seed)
     centre = [draw.getrandbits(64) for _ in range(centres)]
     values = [draw.choice(centre) ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(flips + 1))) for _ in range(n)]
     nodes = node_frame(spark, values)
-    star, met = golay_dedup.links(nodes)
-    got = {r.node: r["class"] for r in golay_dedup.components(star.unionByName(met)).collect()}
+    got = {r.node: r["class"] for r in golay_dedup.components(golay_dedup.links(nodes)).collect()}
     values = sorted(set(values))
     classes = plain.hamming_classes(values, golay_dedup.NEAR)
     signed = dict(zip(values, np.array(values, np.uint64).view(np.int64).tolist(), strict=True))
