@@ -44,10 +44,12 @@ UNITS = (
 ).split()
 # Shorter ones are words too ("in", "am"), so they need a number before them.
 FREE_UNIT_LETTERS = 3
-_CAPITAL = r"\p{Ll}[\p{L}\p{M}]*(?: \p{Lu}\p{Ll}[\p{L}\p{M}]*)*"
+# Possessive, as the JVM's matcher recurses for each repetition of a group that it could give back, and overflows on
+# long runs; what follows a run never needs a part of it.
+_CAPITAL = r"\p{Ll}[\p{L}\p{M}]*+(?: \p{Lu}\p{Ll}[\p{L}\p{M}]*+)*+"
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;:] .)" + _CAPITAL
 _ANY_NAME = r"(?<![\p{L}\p{M}])\p{Lu}" + _CAPITAL
-_NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+_NUMBER = r"\p{Nd}++(?:[.,:/]\p{Nd}++)*+"
 _SIGNS = "%€$£°"
 _UNIT = rf"(?:(?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])|[{_SIGNS}])"
 # In lower case only, so that it is never found inside a name.
