@@ -27,6 +27,8 @@ ENOUGH = 13
 LITERALS = 4
 # Up to so many rows of 40 bytes are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+# Up to so many different pairs of tokens of a view's items decide which windows of the documents are hashed at all.
+BEGINS = 50_000
 
 UNITS = (
     "mm cm dm km m mg kg g t ml cl dl l s ms min mins h hr hrs sec secs am pm years year days day hours hour minutes minute weeks week "
@@ -44,17 +46,20 @@ UNITS = (
 ).split()
 # Shorter ones are words too ("in", "am"), so they need a number before them.
 FREE_UNIT_LETTERS = 3
+FREE_UNITS = [u for u in UNITS if len(u) >= FREE_UNIT_LETTERS]
 # Possessive, as the JVM's matcher recurses for each repetition of a group that it could give back, and overflows on
 # long runs; what follows a run never needs a part of it.
 _CAPITAL = r"\p{Ll}[\p{L}\p{M}]*+(?: \p{Lu}\p{Ll}[\p{L}\p{M}]*+)*+"
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;:] .)" + _CAPITAL
 _ANY_NAME = r"(?<![\p{L}\p{M}])\p{Lu}" + _CAPITAL
 _NUMBER = r"\p{Nd}++(?:[.,:/]\p{Nd}++)*+"
+# A part of a longer number is never tried anew, which would take the square of its length.
+_WHOLE_NUMBER = rf"(?<!\p{{Nd}}|\p{{Nd}}[.,:/]){_NUMBER}"
 _SIGNS = "%€$£°"
 _UNIT = rf"(?:(?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])|[{_SIGNS}])"
 # In lower case only, so that it is never found inside a name.
 _FREE_UNIT = (
-    rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(sorted((u for u in UNITS if len(u) >= FREE_UNIT_LETTERS), key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])"
+    rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(sorted(FREE_UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])"
 )
 # Letters, or numbers, or a sign after a number: what both templates' tokens consist of.
 _ATOM = rf"{_NUMBER}|[\p{{L}}\p{{M}}]+|(?<=\p{{Nd}}|\p{{Nd}} )[{_SIGNS}]"
@@ -68,16 +73,16 @@ VIEWS = (STRICT, LOOSE, PLAIN)
 def _template(text: Column, view: str) -> Column:
     """The text with placeholders, of the same tokens in the same order as ``_valued``."""
     text = F.regexp_replace(F.translate(text, NUMBER + NAME + UNIT + OPEN + CLOSE, _BLANK), _ANY_NAME if view == LOOSE else _NAME, f" {NAME} ")
-    text = F.regexp_replace(text, f"({_NUMBER})( ?)({_UNIT})", f" {NUMBER} {UNIT} ")
+    text = F.regexp_replace(text, f"({_WHOLE_NUMBER})( ?)({_UNIT})", f" {NUMBER} {UNIT} ")
     text = F.regexp_replace(text, _NUMBER, f" {NUMBER} ")
-    return F.lower(F.regexp_replace(text, _FREE_UNIT, f" {UNIT} ") if view == LOOSE else text)
+    return text
 
 
 def _valued(text: Column, view: str) -> Column:
     """The text with every placeholder's value between marks."""
     names = _ANY_NAME if view == LOOSE else _NAME
     text = F.regexp_replace(F.translate(text, NUMBER + NAME + UNIT + OPEN + CLOSE, _BLANK), names, f" {OPEN}p$0{CLOSE} ")
-    text = F.regexp_replace(text, f"({_NUMBER})( ?)({_UNIT})", f" {OPEN}n$1{CLOSE} {OPEN}u$3{CLOSE} ")
+    text = F.regexp_replace(text, f"({_WHOLE_NUMBER})( ?)({_UNIT})", f" {OPEN}n$1{CLOSE} {OPEN}u$3{CLOSE} ")
     text = F.regexp_replace(text, rf"(?<!{OPEN}n|\p{{Nd}}|\p{{Nd}}[.,:/]){_NUMBER}", f" {OPEN}n$0{CLOSE} ")
     return F.lower(F.regexp_replace(text, _FREE_UNIT, f" {OPEN}u$0{CLOSE} ") if view == LOOSE else text)
 
@@ -88,7 +93,11 @@ def template_tokens(text: Column, view: str = STRICT) -> Column:
         text = F.lower(F.translate(text, NUMBER + NAME + UNIT + OPEN + CLOSE, _BLANK))
         return F.regexp_extract_all(text, F.lit(_ATOM), F.lit(0))
     gaps = rf"[^\p{{L}}\p{{M}}{NUMBER}{NAME}{UNIT}]+"
-    return F.array_remove(F.split(_template(text, view), gaps), "")
+    if view == STRICT:
+        return F.array_remove(F.split(F.lower(_template(text, view)), gaps), "")
+    tokens = F.array_remove(F.split(_template(text, view), gaps), "")
+    # A unit in lower case only, so that it is none that begins a name; by token, as a pattern of all units is slow.
+    return F.transform(tokens, lambda t: F.when(t.isin(FREE_UNITS), F.lit(UNIT)).otherwise(F.lower(t)))
 
 
 def valued_tokens(text: Column, view: str = STRICT) -> Column:
@@ -103,6 +112,23 @@ def _owners(values: Column) -> Column:
     return F.flatten(F.transform(values, lambda v, i: F.array_repeat(i, holds(v))))
 
 
+def _begins(tokens: Column, starts: Column) -> Column:
+    """Hashes of the first two tokens at all ``starts``."""
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, 2)))
+
+
+def _windows_at(tokens: str, width: int, begins: list[int] | None) -> Column:
+    """(at, hash) of the windows of ``width`` tokens that begin like one of an item, from place 0; all if not known."""
+    last = F.size(tokens) - (width - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    if begins is not None and width > 1:
+        # As text, since thousands of literals are slow to build one by one.
+        listed = ", ".join(f"{b}L" if b > -(1 << 63) else "cast('-9223372036854775808' as long)" for b in begins or [0])
+        places = F.expr(f"filter(sequence(1, greatest(size({tokens}) - {width - 1}, 1)), i -> xxhash64(slice({tokens}, i, 2)) in ({listed}))")
+        starts = F.when(last >= 1, places).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(tokens, i, width)).alias("hash")))
+
+
 def _windows(tokens: Column, width: Column | int) -> Column:
     """Hashes of all windows of ``width`` tokens, in order; empty where there are fewer tokens."""
     starts = F.sequence(F.lit(1), F.size(tokens) - (width - 1))
@@ -137,14 +163,21 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         own = own.select("item_id", "item_hash", "view", "width", F.posexplode_outer(_windows(F.col("tokens"), F.col("width"))).alias("start", "hash"))
         known = own if known is None else known.unionByName(own)
     known = materialise(known, "item-windows")
+    begins = {}
+    for view in VIEWS:
+        tokens = F.col(f"{view}_tokens")
+        starts = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+        found = items.select(F.explode(_begins(tokens, starts)).alias("b")).distinct().limit(BEGINS + 1).collect()
+        # Beyond the limit all windows are joined.
+        begins[view] = [r.b for r in found] if len(found) <= BEGINS else None
     sizes = sorted((r["view"], r["width"]) for r in known.select("view", "width").distinct().collect())
     tokens = _keyed(docs).select("doc_id", "text_hash", *(template_tokens(F.col("text"), view).alias(view) for view in VIEWS))
-    windows = [F.struct(F.lit(v).alias("view"), F.lit(w).alias("width"), _windows(F.col(v), w).alias("hashes")) for v, w in sizes]
+    windows = [F.struct(F.lit(v).alias("view"), F.lit(w).alias("width"), _windows_at(v, w, begins[v]).alias("windows")) for v, w in sizes]
     if not windows:
-        windows = [F.struct(F.lit(PLAIN).alias("view"), F.lit(0).alias("width"), F.array(F.lit(0).cast("long")).alias("hashes"))]
+        windows = [F.struct(F.lit(PLAIN).alias("view"), F.lit(0).alias("width"), _windows_at(PLAIN, 1 << 30, None).alias("windows"))]
     rows = tokens.select("doc_id", "text_hash", F.inline_outer(F.array(*windows)))
     # An inner explode would get a filter on its array, which evaluates the tokens once for each window.
-    rows = rows.select("doc_id", "text_hash", "view", "width", F.posexplode_outer("hashes").alias("at", "hash"))
+    rows = rows.select("doc_id", "text_hash", "view", "width", F.inline_outer("windows"))
     rows = rows.join(_small(known), ["hash", "view", "width"])
     found = rows.groupBy("doc_id", "text_hash", "item_id", "item_hash", "view", "width", (F.col("at") - F.col("start")).alias("shift")).agg(
         F.collect_set("start").alias("starts")

@@ -136,7 +136,7 @@ def test_long_runs_of_names_and_numbers(spark):
     item = "Marta bakes 12 loaves each day and sells 9 of them at noon to Tom and the rest at night"
     names, numbers = "Hello " * 20_000, "12,345," * 20_000
     texts = [names, numbers, f"{names}. {item}", f"{item}. {numbers}", "Ab " * 20_000 + "5 kg " * 20_000]
-    assert leak_pairs(spark, texts, [item]) == {(2, 0), (3, 0)}
+    assert set(leak_pairs(spark, texts, [item])) == {(2, 0), (3, 0)}
 
 
 def test_leaks_as_brute_force(spark):
