@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import posixpath
 import re
-import sys
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
@@ -18,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import CELL_SEPARATOR, strip
+from quern.functions.text import strip
 from quern.schemas import DOCUMENTS
+from quern.sources.csv_ranges import csv_records
 from quern.sources.paths import file_names
 
 # One row cannot hold more; larger files are listed by ``rejected_files``.
 MAX_FILE_BYTES = 2_000_000_000
-TEXT_HEADER = "text"
 
 
 def _glob(suffix: str) -> str:
@@ -63,30 +61,14 @@ def read_text_documents(
     return _documents(placed, F.col("value"), rank)
 
 
-def csv_texts(content: bytes) -> Iterator[str | None]:
-    """The text of every record: its text column, or all its cells where the file has none.
+def read_csv_documents(spark: SparkSession, path: str, rank: int = 0) -> DataFrame:
+    """One document per CSV record: the cell of its text column, or all its cells where the file has none.
 
     The first line is the header; a blank one means that the file has none. A byte-order mark is part of the first
-    header. Of a repeated header the last cell counts, and cells beyond the header are joined like others.
+    header. Of a repeated header the last cell counts, and cells beyond the header are joined like others. Files of any
+    size are read in ranges by many tasks, though cells may hold line ends; a first pass over them runs at once.
     """
-    csv.field_size_limit(sys.maxsize)
-    records = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8", "replace", newline=""))
-    header = next(records, [])
-    last = {name: i for i, name in enumerate(header)}
-    text = next((name for name in header if name.lower() == TEXT_HEADER), None)
-    for cells in records:
-        if text is not None:
-            yield cells[last[text]] if last[text] < len(cells) else None
-            continue
-        picked = [cells[i] for i in last.values() if i < len(cells)] + cells[len(header) :]
-        yield CELL_SEPARATOR.join(cell for cell in map(str.strip, picked) if cell)
-
-
-def read_csv_documents(
-    spark: SparkSession, path: str, rank: int = 0, max_bytes: int = MAX_FILE_BYTES
-) -> DataFrame:
-    """One document per CSV record; a file is read once, in order, by one task, as cells may hold line ends."""
-    return _readable(_parsed(spark, path, "csv", csv_texts, max_bytes), rank)
+    return _readable(csv_records(spark, path, _glob("csv")), rank)
 
 
 # Fixed value: the namespace of word-processor markup.
@@ -134,7 +116,7 @@ RECORDS_AT_ONCE = 1000
 def _parsed(
     spark: SparkSession, path: str, suffix: str, records: Callable[[bytes], Iterable[str | None]], max_bytes: int
 ) -> DataFrame:
-    """path, row, value and error: a file's records in order, and what ended them early."""
+    """path, block, row, value and error: a file's records in order, and what ended them early."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", _glob(suffix))
@@ -172,12 +154,13 @@ def _parsed(
                 if error:
                     yield rows_of(name.as_py(), row, [None], error)
 
-    return files.mapInArrow(run, "path string, row long, value string, error string")
+    parsed = files.mapInArrow(run, "path string, row long, value string, error string")
+    return parsed.withColumn("block", F.lit(0).cast("long"))
 
 
 def _readable(parsed: DataFrame, rank: int) -> DataFrame:
     rows = parsed.filter(F.col("error").isNull())
-    return _documents(rows.select("path", F.lit(0).cast("long").alias("block"), "row", "value"), F.col("value"), rank)
+    return _documents(rows.select("path", "block", "row", "value"), F.col("value"), rank)
 
 
 def _whole(parse: Callable[[bytes], str]) -> Callable[[bytes], Iterator[str]]:
@@ -216,7 +199,7 @@ def collect_documents(
     parts = []
     for rank, suffix in enumerate(FORMATS):
         if suffix == "csv":
-            parts.append(read_csv_documents(spark, path, rank, max_bytes))
+            parts.append(read_csv_documents(spark, path, rank))
         elif suffix == "txt":
             parts.append(read_text_documents(spark, path, rank, max_bytes))
         elif suffix in known:
@@ -242,14 +225,14 @@ def rejected_files(
         if posixpath.basename(name)[0] in "._" and name.lower().rpartition(".")[2] in FORMATS
     ]
     parts = [spark.createDataFrame(hidden, "path string, reason string")]
-    large = oversized(spark, path, FORMATS, max_bytes)
+    large = oversized(spark, path, [s for s in FORMATS if s != "csv"], max_bytes)
     parts.append(large.select("path", F.concat(F.lit("too large: "), F.col("length").cast("string")).alias("reason")))
     for suffix in FORMATS:
         if suffix == "txt":
             continue
         if suffix == "csv" or suffix in known:
-            records = csv_texts if suffix == "csv" else _whole(known[suffix])
-            parsed = _parsed(spark, path, suffix, records, max_bytes).filter(F.col("error").isNotNull())
+            records = csv_records(spark, path, _glob("csv")) if suffix == "csv" else _parsed(spark, path, suffix, _whole(known[suffix]), max_bytes)
+            parsed = records.filter(F.col("error").isNotNull())
             parts.append(parsed.select("path", F.concat(F.lit("broken: "), "error").alias("reason")))
         else:
             files = spark.read.format("binaryFile").option("pathGlobFilter", _glob(suffix)).load(path)

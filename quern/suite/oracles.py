@@ -9,6 +9,7 @@ from quern.operators.mixing import MAX_PER_SOURCE
 from quern.suite.queries import (
     BANNED,
     CONTEXT,
+    DELIVERIES,
     HEAD,
     INSTRUCTION,
     PATTERNS,
@@ -378,4 +379,15 @@ SQL: dict[str, str] = {
     "stream_flagged": f"""
         select doc_id as index, array_to_string(phrases, '|') as matched_phrases, {_EXCERPT} as excerpt
         from ({_ANNOTATED}) where len(phrases) > 0""",
+    "stream_distinct": f"""
+        with came as (select md5(text) as text_md5, doc_id % 4 as delivery, doc_id % 8 = 7 as late from documents),
+        first as (select distinct text_md5, {DELIVERIES[0]} as day from came where delivery = 0),
+        second as (select distinct text_md5, {DELIVERIES[1]} from came where delivery = 1
+            and text_md5 not in (select text_md5 from first)),
+        third as (select distinct text_md5, {DELIVERIES[2]} from came where delivery = 2
+            and text_md5 not in (select text_md5 from first union all select text_md5 from second)),
+        fourth as (select distinct text_md5, {DELIVERIES[3]} from came where delivery = 3 and not late
+            and text_md5 not in (select text_md5 from third))
+        select text_md5, cast(day as bigint) as day from
+        (select * from first union all select * from second union all select * from third union all select * from fourth)""",
 }

@@ -706,3 +706,25 @@ def stream_flagged(spark, sf):
     return spark.read.schema("index long, matched_phrases string, excerpt string").parquet(output)
 
 
+
+
+# Event time, in days, of the documents of each of four deliveries; the last also brings old ones.
+DELIVERIES, LATE_DAY, DELAY_DAYS = (1, 3, 20, 21), 2, 5
+
+
+@query
+def stream_distinct(spark, sf):
+    """Documents in four deliveries, repeated texts dropped across them; the last brings late ones too.
+
+    Between the second and the third the watermark passes what came before, so texts of the first two stay again.
+    """
+    delivery, late = F.col("doc_id") % len(DELIVERIES), F.col("doc_id") % (2 * len(DELIVERIES)) == 2 * len(DELIVERIES) - 1
+    day = F.when(late, LATE_DAY).otherwise(F.element_at(F.array(*map(F.lit, DELIVERIES)), (delivery + 1).cast("int")))
+    docs = table(spark, sf, "documents").select("doc_id", "text", day.alias("day"))
+    docs = docs.withColumn("at", F.timestamp_seconds(F.col("day") * 86_400))
+    source, output, name = scratch(spark, "deliveries"), scratch(spark, "distinct"), uuid.uuid4().hex
+    for i in range(len(DELIVERIES)):
+        docs.where(delivery == i).write.mode("append").parquet(source)
+        stream = runs.stream_table(spark, source, docs.schema)
+        runs.run_available(stream, lambda df: runs.without_repeats(df, "at", f"{DELAY_DAYS} days"), output, name)
+    return spark.read.schema(docs.schema).parquet(output).select(F.md5("text").alias("text_md5"), F.col("day").cast("long").alias("day"))
