@@ -51,10 +51,11 @@ FREE_UNITS = [u for u in UNITS if len(u) >= FREE_UNIT_LETTERS]
 # long runs; what follows a run never needs a part of it.
 _CAPITAL = r"\p{Ll}[\p{L}\p{M}]*+(?: \p{Lu}\p{Ll}[\p{L}\p{M}]*+)*+"
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;:] .)" + _CAPITAL
-_ANY_NAME = r"(?<![\p{L}\p{M}])\p{Lu}" + _CAPITAL
+# What must follow is looked at first, as that is seldom there.
+_ANY_NAME = r"(?=\p{Lu})(?<![\p{L}\p{M}])\p{Lu}" + _CAPITAL
 _NUMBER = r"\p{Nd}++(?:[.,:/]\p{Nd}++)*+"
 # A part of a longer number is never tried anew, which would take the square of its length.
-_WHOLE_NUMBER = rf"(?<!\p{{Nd}}|\p{{Nd}}[.,:/]){_NUMBER}"
+_WHOLE_NUMBER = rf"(?=\p{{Nd}})(?<!\p{{Nd}}|\p{{Nd}}[.,:/]){_NUMBER}"
 _SIGNS = "%€$£°"
 _UNIT = rf"(?:(?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])|[{_SIGNS}])"
 # In lower case only, so that it is never found inside a name.
@@ -62,7 +63,7 @@ _FREE_UNIT = (
     rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(sorted(FREE_UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])"
 )
 # Letters, or numbers, or a sign after a number: what both templates' tokens consist of.
-_ATOM = rf"{_NUMBER}|[\p{{L}}\p{{M}}]+|(?<=\p{{Nd}}|\p{{Nd}} )[{_SIGNS}]"
+_ATOM = rf"[\p{{L}}\p{{M}}]++|{_NUMBER}|(?=[{_SIGNS}])(?<=\p{{Nd}}|\p{{Nd}} )[{_SIGNS}]"
 # Private characters: number, name and unit; begin and end of a value.
 NUMBER, NAME, UNIT, OPEN, CLOSE = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 _BLANK = "     "
