@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import phrases as P
 from quern.functions import text as T
+from quern.functions.automaton import Automaton
 
 # Up to about this many words a byte search per word beats one pass of an automaton (measured).
 CONTAINS_LIMIT = 8
+# Bytes of words in one automaton; its tables take some twenty times as much.
+PART_BYTES = 4 << 20
 
 
 def normalise(df: DataFrame, text: str = "text") -> DataFrame:
@@ -135,18 +138,26 @@ def redact(
     return df.withColumn(text, P.redact(F.col(text), phrases, token, mode))
 
 
-def _contains_any(words: Sequence[str]):
-    """One automaton pass per text, for word lists too long for a search per word."""
+def _contains_any(df: DataFrame, words: Sequence[str]) -> Callable[[Column], Column]:
+    """For word lists too long for a search per word: automata built here once, sent to the tasks once.
 
-    @F.pandas_udf("boolean")
-    def contains_any(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word in words:
-            automaton.add_word(word, True)
-        automaton.make_automaton()
-        return texts.map(lambda t: next(automaton.iter(t), None) is not None)
+    A list is cut into parts of at most ``PART_BYTES``, each of which a text is held against.
+    """
+    parts, size = [[]], 0
+    for word in words:
+        size += len(word.encode())
+        if size > PART_BYTES and parts[-1]:
+            parts.append([])
+            size = len(word.encode())
+        parts[-1].append(word)
+    sent = [df.sparkSession.sparkContext.broadcast(Automaton(part)) for part in parts]
+
+    @F.arrow_udf("boolean")
+    def contains_any(texts: pa.Array) -> pa.Array:
+        found = sent[0].value.found_in(texts)
+        for automaton in sent[1:]:
+            found |= automaton.value.found_in(texts)
+        return pa.array(found)
 
     return contains_any
 
@@ -165,7 +176,7 @@ def filter_banned(
     if "" in used:
         return df.filter(F.lit(False))
     if len(used) > contains_limit:
-        return df.filter(~_contains_any(used)(lowered))
+        return df.filter(~_contains_any(df, used)(lowered))
     hit = F.lit(False)
     for word in used:
         hit = hit | lowered.contains(word)

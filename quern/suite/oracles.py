@@ -8,6 +8,7 @@ from quern.functions.text import WHITESPACE
 from quern.operators.mixing import MAX_PER_SOURCE
 from quern.suite.queries import (
     BANNED,
+    BANNED_LETTERS,
     CONTEXT,
     DELIVERIES,
     HEAD,
@@ -390,4 +391,8 @@ SQL: dict[str, str] = {
             and text_md5 not in (select text_md5 from third))
         select text_md5, cast(day as bigint) as day from
         (select * from first union all select * from second union all select * from third union all select * from fourth)""",
+    "banned_long_list": f"""
+        with words as (select distinct unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as word from benchmark),
+        long as (select word from words where length(word) >= {BANNED_LETTERS})
+        select doc_id, n_chars from documents d where not exists (select 1 from long where contains(lower(d.text), word))""",
 }

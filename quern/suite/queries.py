@@ -31,6 +31,7 @@ CONTEXT = ("from", "est")
 PHRASES = ("license", "all rights reserved", "information", "the of")
 REDACTED = ("all rights reserved", "license", "the of", "red")
 BANNED = ("password", "all rights reserved", "secret", "licen")
+BANNED_LETTERS = 10
 INSTRUCTION = "Summarise the following text: "
 HEAD = 10
 VOCABULARY = 1000
@@ -624,6 +625,16 @@ def word_lists(spark, sf):
     return spark.createDataFrame(rows, "mode string, word string")
 
 
+@query
+def banned_long_list(spark, sf):
+    """Documents without any of the benchmark's long words, a list for the automaton."""
+    path = scratch(spark, "banned")
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    words.where(F.length("word") >= BANNED_LETTERS).distinct().write.text(path)
+    banned = line_files.read_word_list(spark, path, "raw", lower=True)
+    return flagging.filter_banned(table(spark, sf, "documents"), banned).select("doc_id", "n_chars")
+
+
 @query
 def redact_single_pass(spark, sf):
     return flagging.redact(table(spark, sf, "documents").select("doc_id", "text"), REDACTED, mode="single_pass")
