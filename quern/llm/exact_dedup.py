@@ -2,8 +2,12 @@
 
 The index is a Parquet table, bucketed and sorted by the digest of the normalised text (A-Z in lower case).
 New data is digested and reduced to one row for each text, anti-joined with the index by a sort-merge join
-whose index side is read without shuffle or sort, and what is new is appended as further files of the buckets.
-The table lies in a folder of its own and is opened by that path, so later sessions go on with it.
+whose index side is read without a shuffle (it is sorted again, as a bucket gets a file with every batch), and what is
+new is appended as further files of the buckets. The table lies in a folder of its own and is opened by that path, so
+later sessions go on with it; the number of its buckets is stored beside it.
+
+A batch has a name, kept with the texts that it brought. A job that is repeated under the name of its batch gets the
+answer of the first time, whether that was stored, lost or cut short: what the index has of this batch counts as new.
 
 Only DataFrame functions run here.
 """
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import lower_az
 from quern.session import checkpoint_root, materialise
+from quern.sources.paths import exists
 
 BUCKETS = 32
 # A text with at least this part of all rows is hot: at most HOT_PARTS texts, which are sent to all tasks.
@@ -34,6 +39,13 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = f"digest_index_{uuid.uuid4().hex}"
+        stored = f"{path.rstrip('/')}.buckets"
+        if exists(spark, stored):
+            had = spark.read.schema("buckets long").parquet(stored).first()
+            if had is not None and had.buckets != buckets:
+                raise ValueError(f"the index in {path} has {had.buckets} buckets, not {buckets}")
+        else:
+            spark.range(1).select(F.lit(int(buckets)).cast("long").alias("buckets")).write.parquet(stored)
         spark.sql(
             f"create table {self.table} ({COLUMNS}) using parquet "
             f"clustered by (text_sha256) sorted by (text_sha256) into {int(buckets)} buckets location '{path}'"
@@ -64,22 +76,26 @@ def digested(docs: DataFrame) -> DataFrame:
     return materialise(rows, "digests")
 
 
-def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def ingest(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """Appends the texts of ``docs`` that the index has not, and decides on every row of ``docs``.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256. Of new equal texts the row with the largest doc_id
     stays (a null id counts as smaller than any; of repeated rows with that id one stays). ``group_size``
     counts the equal rows of the batch that brought the text. A text that the index had keeps
     its first ``keep_id`` and all its new rows go. Null counts as empty text.
+
+    ``batch`` names these rows and no others; with it the call can be repeated. Without a name every call is a batch of its
+    own, so that a repeat finds all its texts known.
     """
-    batch = uuid.uuid4().hex
+    batch = batch or uuid.uuid4().hex
     rows = digested(docs)
     groups = rows.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
     groups = groups.select("text_sha256", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size", F.lit(batch).alias("batch"))
     groups = materialise(groups, "digest-groups")
     index.append(groups.join(index.rows().select("text_sha256").hint("merge"), "text_sha256", "left_anti"))
 
-    known = index.rows().join(groups.select("text_sha256").hint("merge"), "text_sha256", "left_semi")
+    # The row that stays has another number when a batch is read again.
+    known = index.rows().drop("keep_row").join(groups.select("text_sha256", "keep_row").hint("merge"), "text_sha256")
     known = materialise(known.withColumn("own", F.col("batch") == batch).drop("batch"), "digest-known")
     # A text with a large part of the rows would meet in one task; so few can be that large that they are sent.
     total = rows.count()

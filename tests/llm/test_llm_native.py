@@ -172,6 +172,32 @@ def test_index_goes_on(spark, tmp_path):
     again.close()
 
 
+def test_a_repeated_batch_keeps_its_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(20)], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    rows = lambda df: Counter(tuple(r) for r in df.collect())
+    lost = exact_dedup.ingest(docs.where("doc_id < 10"), index, "monday")  # its result is never stored
+    want = rows(exact_dedup.ingest(docs.where("doc_id < 10").repartition(3), index, "monday"))
+    assert want == rows(lost) and sum(r[3] for r in want) == 7
+    index.close()
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    assert rows(exact_dedup.ingest(docs.where("doc_id < 10").coalesce(1), index, "monday")) == want
+    assert not any(r[3] for r in rows(exact_dedup.ingest(docs, index, "tuesday")))
+    assert rows(exact_dedup.ingest(docs.where("doc_id < 10"), index, "monday")) == want and index.rows().count() == 7
+    index.close()
+    # Cut short: only a part of a batch came into the index.
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "other"), buckets=4)
+    exact_dedup.ingest(docs.where("doc_id % 7 < 3"), index, "monday")
+    assert sum(r.kept for r in exact_dedup.ingest(docs, index, "monday").collect()) == 7
+    index.close()
+
+
+def test_buckets_are_those_of_the_index(spark, tmp_path):
+    exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=4).close()
+    with pytest.raises(ValueError, match="has 4 buckets"):
+        exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=8)
+
+
 def test_index_side_is_not_shuffled(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
     fresh = spark.createDataFrame([("x",)], "text_sha256 string").repartition(4, "text_sha256")
