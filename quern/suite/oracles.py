@@ -14,6 +14,7 @@ from quern.suite.queries import (
     HEAD,
     INSTRUCTION,
     PATTERNS,
+    PHRASE_WORDS,
     PHRASES,
     QUICK_ROWS,
     REDACTED,
@@ -55,6 +56,21 @@ _EXCERPT = "left(replace(text, chr(10), ' '), 300)"
 _ANNOTATED = f"select doc_id, text, n_chars, {_PHRASES_FOUND} as phrases from documents"
 
 
+def _split_words(table: str, row_id: str) -> str:
+    split = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
+    return f"(select {row_id}, {split} as w from {table})"
+
+
+def _runs(table: str, row_id: str) -> str:
+    """Every run of PHRASE_WORDS words with its place."""
+    return f"""select {row_id}, array_to_string(w[i:i + {PHRASE_WORDS - 1}], ' ') as phrase, cast(i - 1 as integer) as start
+        from (select *, unnest(range(1, len(w) - {PHRASE_WORDS - 2})) as i from {_split_words(table, row_id)})"""
+
+
+_LISTED_PLACES = f"""select doc_id, phrase, start from ({_runs("documents", "doc_id")})
+        where phrase in (select phrase from ({_runs("benchmark", "item_id")}))"""
+
+
 def _contains_any(words, text: str) -> str:
     return "(" + " or ".join(f"contains({text}, {literal(w)})" for w in words) + ")"
 
@@ -374,6 +390,14 @@ SQL: dict[str, str] = {
         numbered as (select doc_id, row_number() over (order by doc_id) - 1 as index from firsts)
         select index, array_to_string(phrases, '|') as matched_phrases, {_EXCERPT} as excerpt
         from ({_ANNOTATED}) join numbered using (doc_id) where len(phrases) > 0""",
+    "phrase_table_places": _LISTED_PLACES,
+    "phrase_table_counts": f"""
+        select phrase, count(*) as places, count(distinct doc_id) as documents from ({_LISTED_PLACES}) group by phrase""",
+    "manifest_sources": """
+        select cast(rank as int) as source_rank, name, number, md5(text) as text_md5 from (
+            select 0 as rank, 'documents' as name, doc_id as number, text from documents union all
+            select 1, 'conversations', conv_id, text from conversations where turn = 0 union all
+            select 2, 'benchmark', item_id, text from benchmark)""",
     "prepared_mixture": f"""
         {" union all ".join(f"select text from (select * from {t} limit {MAX_PER_SOURCE})"
                             for t in ("documents", "conversations", "benchmark"))}""",

@@ -14,7 +14,7 @@ from quern.functions import tokens as K
 from quern.functions.records import joined_responses, pick_text, with_json_text
 from quern.functions.vectors import squared_l2
 from quern.operators import dedup, embedding, encoding, flagging, inventory, mixing
-from quern.operators import neighbours, ordering, prompts, runlog, validation
+from quern.operators import neighbours, ordering, phrase_table, prompts, runlog, validation
 from quern.plans import corpus, mixture, training
 from quern.session import checkpoint_root
 from quern.sources import documents as document_files
@@ -36,6 +36,7 @@ INSTRUCTION = "Summarise the following text: "
 HEAD = 10
 VOCABULARY = 1000
 QUICK_ROWS = 50
+PHRASE_WORDS = 5
 
 QUERIES: dict[str, Query] = {}
 
@@ -147,6 +148,26 @@ def banned_word_filter(spark, sf):
     return kept.select("source_rank", "seq", F.length("text").alias("characters"))
 
 
+def _listed_places(spark, sf):
+    """Places of the benchmark's runs of five words in the documents."""
+    own = K.words(F.col("text"))
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size(own) - (PHRASE_WORDS - 1)), lambda i: F.array_join(F.slice(own, i, PHRASE_WORDS), " ")
+    )
+    items = table(spark, sf, "benchmark").where(F.size(own) >= PHRASE_WORDS)
+    return phrase_table.phrase_places(table(spark, sf, "documents"), items.select(F.explode(runs).alias("phrase")))
+
+
+@query
+def phrase_table_places(spark, sf):
+    return _listed_places(spark, sf)
+
+
+@query
+def phrase_table_counts(spark, sf):
+    return phrase_table.phrase_counts(_listed_places(spark, sf))
+
+
 @query
 def redact_phrases(spark, sf):
     return flagging.redact(table(spark, sf, "documents").select("doc_id", "text"), REDACTED)
@@ -686,6 +707,30 @@ def corpus_report(spark, sf):
     )
 
 
+@query
+def manifest_sources(spark, sf):
+    """Every source a list or a stored manifest names, whole; a split that a source lacks is its first one.
+
+    Readers pass their columns on but for those a training text has no use for.
+    """
+    path = scratch(spark, "manifest")
+    lines = table(spark, sf, "region").select(
+        F.when(F.col("r_regionkey") == 0, "# sources").when(F.col("r_regionkey") == 1, " benchmark ")
+        .when(F.col("r_regionkey") == 2, "  # pages").otherwise("").alias("value")
+    )
+    lines.write.text(path)
+    sources = registry.SourceRegistry()
+    for name in ("documents", "conversations", "benchmark"):
+        sources.add(name, lambda session, name=name: table(session, sf, name).drop("lang", "source", "n_chars", "role", "turn"))
+    sources.add("conversations", lambda session: table(session, sf, "conversations").where("turn = 0").drop("role", "turn"), "first")
+    parts = []
+    for name in registry.source_names(spark, "documents, conversations", path):
+        rows = registry.load_source(spark, sources, name, "first")
+        number = next(c for c in rows.columns if c.endswith("_id"))
+        parts.append(rows.select(F.lit(name).alias("name"), F.col(number).alias("number"), *rows.drop(number).columns))
+    return mixing.concat_sources(parts).select("source_rank", "name", "number", F.md5("text").alias("text_md5"))
+
+
 @query
 def prepared_mixture(spark, sf):
     """Two named sources and a stored JSON lines file, the first 200 of each, shuffled."""

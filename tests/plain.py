@@ -85,3 +85,16 @@ def nearest(vectors, queries, k):
         ranked = sorted((math.fsum((x - y) ** 2 for x, y in zip(a, b)), d) for d, b in vectors)
         out += [(q, rank, d) for rank, (_, d) in enumerate(ranked[:k], 1)]
     return out
+
+
+def phrase_places(texts, phrases):
+    """(text number, phrase, first word) by trying every phrase at every word."""
+    split = lambda text: re.findall("[a-z0-9]+", (text or "").lower())
+    listed = {tuple(split(p)) for p in phrases} - {()}
+    found = []
+    for number, text in enumerate(texts):
+        own = split(text)
+        for phrase in listed:
+            n = len(phrase)
+            found += [(number, " ".join(phrase), i) for i in range(len(own) - n + 1) if tuple(own[i : i + n]) == phrase]
+    return sorted(found)
