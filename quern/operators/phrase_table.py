@@ -33,11 +33,11 @@ def phrase_list(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
 
 
 def _phrase_grams(listed: DataFrame) -> DataFrame:
-    tokens = F.split("phrase", " ")
-    grams = _grams(tokens, GRAM)
+    cut = listed.select("phrase", "size", F.split("phrase", " ").alias("_words"))
+    grams = _grams(F.col("_words"), GRAM)
     for width in range(1, GRAM):
-        grams = F.when(F.col("size") == width, _grams(tokens, width)).otherwise(grams)
-    return listed.select("phrase", "size", F.inline(grams))
+        grams = F.when(F.col("size") == width, _grams(F.col("_words"), width)).otherwise(grams)
+    return cut.select("phrase", "size", F.inline_outer(grams))
 
 
 def _keys(wanted: DataFrame, places: DataFrame) -> DataFrame:
@@ -70,7 +70,8 @@ def phrase_places(
     cut = docs.select(F.col(doc_id).alias("doc_id"), words(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
     if not widths:
         return cut.select("doc_id", F.lit("").alias("phrase"), F.lit(0).alias("start")).limit(0)
-    runs = cut.select("doc_id", F.inline(F.concat(*[_grams(F.col("_words"), w) for w in sorted(widths)])))
+    # An inner explode would get a filter on its array, which cuts the text once for every word.
+    runs = cut.select("doc_id", F.inline_outer(F.concat(*[_grams(F.col("_words"), w) for w in sorted(widths)])))
     places = materialise(runs.join(wanted.select("gram").distinct(), "gram", "left_semi"), "places")
     keys = _keys(wanted, places)
     candidates = places.join(keys, "gram").select(

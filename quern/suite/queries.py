@@ -150,12 +150,12 @@ def banned_word_filter(spark, sf):
 
 def _listed_places(spark, sf):
     """Places of the benchmark's runs of five words in the documents."""
-    own = K.words(F.col("text"))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(own) - (PHRASE_WORDS - 1)), lambda i: F.array_join(F.slice(own, i, PHRASE_WORDS), " ")
-    )
-    items = table(spark, sf, "benchmark").where(F.size(own) >= PHRASE_WORDS)
-    return phrase_table.phrase_places(table(spark, sf, "documents"), items.select(F.explode(runs).alias("phrase")))
+    items = table(spark, sf, "benchmark").select(K.words(F.col("text")).alias("own"))
+    starts = F.sequence(F.lit(1), F.size("own") - (PHRASE_WORDS - 1))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice("own", i, PHRASE_WORDS), " "))
+    runs = F.when(F.size("own") >= PHRASE_WORDS, runs)
+    phrases = items.select(F.explode_outer(runs).alias("phrase"))
+    return phrase_table.phrase_places(table(spark, sf, "documents"), phrases)
 
 
 @query
