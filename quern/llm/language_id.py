@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import unused
-from quern.llm.text_bytes import chunks
+from quern.llm.text_bytes import chunks, slices
 
 UNKNOWN = "und"
 ORDERS = (2, 4)
@@ -63,7 +63,7 @@ def grams(column: pa.Array) -> Iterator[np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in slices(batches, 0):
         languages = batch.column(1).to_pylist()
         for language, buckets in zip(languages, grams(batch.column(0)), strict=True):
             if language not in totals:
@@ -161,7 +161,7 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, logs = sent.value
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = batch.column(at)
             letters = pc.fill_null(pc.match_substring_regex(texts, LETTER), False).to_pylist()
             found = []

@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+# Results of a slice are sent before the next one is looked at.
+SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -84,6 +86,18 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np
         row = end
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in smaller ones of at most ``limit`` bytes of the text in ``column``, or of one longer text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        row = 0
+        while row < len(ends):
+            before = int(ends[row - 1]) if row else 0
+            end = max(int(np.searchsorted(ends, before + limit, side="right")), row + 1)
+            yield batch.slice(row, end - row)
+            row = end
+
+
 def _word_table() -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True

@@ -405,3 +405,13 @@ def test_licences_of_a_table(spark):
     assert docs.columns[2] in found[0].asDict() and "_labels" in found[0].asDict()
     assert [(r.n_words, r.n_base, r.first_word, r.base_labels) for r in found] == [(0, 0, None, "")] * 3 + [(100004, 1, 100000, "mit")]
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_slices_keep_all_rows_in_order():
+    texts = ["", None, "a" * 10, "é" * 3, "b" * 50, "", "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.string())], names=["id", "text"])
+    for limit in (1, 10, 16, 1000):
+        parts = list(text_bytes.slices(iter([batch.slice(0, 0), batch, batch.slice(2, 3)]), 1, limit))
+        assert [x for p in parts for x in p.column(1).to_pylist()] == texts + texts[2:5]
+        sizes = [[len((x or "").encode()) for x in p.column(1).to_pylist()] for p in parts]
+        assert all(len(s) and (sum(s) <= limit or len(s) == 1) for s in sizes)
