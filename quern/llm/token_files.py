@@ -14,6 +14,7 @@ Spark writes the files, so a lost task leaves nothing behind, and any store that
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -21,10 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm.text_bytes import slices
+
 BLOCK = 256
 CHUNK_IDS = 1 << 16
 END_ID = 2
@@ -34,14 +38,31 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64
 ESCAPE = 15
 U64 = np.uint64
 SCHEMA = "part int, chunk int, start long, doc_ids array<long>, counts array<long>, words binary, offsets binary"
-# Words of up to so many characters are encoded once per Python worker, up to so many of them.
-MEMO_WORDS, MEMO_CHARS = 300_000, 64
+# Words of up to so many bytes are encoded once per Python worker, up to so many of them.
+MEMO_WORDS, MEMO_CHARS = 600_000, 64
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 WORD_END = "</w>"
-# Fixed value: the tokenizer's words in lower-case Latin-1 texts, with the letters, numbers and blanks spelled out.
+# The file's words and normalisation, for which the encoder cuts texts itself.
+FILE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+FILE_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+LETTER, NUMBER, BLANK, SIGN = range(4)
+# The kinds of lower-case Latin-1 characters.
+RUN_KINDS = np.full(256, SIGN, dtype=np.uint8)
+RUN_KINDS[[*range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = LETTER
+RUN_KINDS[[*range(0x30, 0x3A), 0xB2, 0xB3, 0xB9, *range(0xBC, 0xBF)]] = NUMBER
+RUN_KINDS[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0]] = BLANK
+KIND_OF = RUN_KINDS.tobytes()
+BLANKS = np.flatnonzero(RUN_KINDS == BLANK).astype(np.uint8).tobytes()
+LOWERED = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
+
+
+def _class(kind: int) -> str:
+    return "".join(rf"\x{c:02x}" for c in np.flatnonzero(RUN_KINDS == kind))
+
+
 LATIN_WORDS = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
-    r"|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe\x09-\x0d\x20\x85\xa0]+"
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class(LETTER)}]+|[{_class(NUMBER)}]|[^{_class(LETTER)}{_class(NUMBER)}{_class(BLANK)}]+"
 )
 
 
@@ -156,13 +177,6 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-LETTER, NUMBER, BLANK, SIGN = range(4)
-RUN_KINDS = np.full(256, SIGN, dtype=np.uint8)
-RUN_KINDS[[*range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = LETTER
-RUN_KINDS[[*range(0x30, 0x3A), 0xB2, 0xB3, 0xB9, *range(0xBC, 0xBF)]] = NUMBER
-RUN_KINDS[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0]] = BLANK
-
-
 def _is_latin(text: str) -> bool:
     if "<|" in text:  # may begin a special token, which is found before anything else
         return False
@@ -173,13 +187,31 @@ def _is_latin(text: str) -> bool:
     return True
 
 
+def _cuts_like_words(path: str) -> bool:
+    """Whether the tokenizer file normalises and splits texts as ``Encoder`` does."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    normal, split, model = made.get("normalizer") or {}, made.get("pre_tokenizer") or {}, made.get("model") or {}
+    steps = split.get("pretokenizers") or [{}]
+    return (
+        normal.get("normalizers") == FILE_NORMAL
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and steps[0]["pattern"] == {"Regex": FILE_WORDS}
+        and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True)
+        and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"])
+        and model.get("end_of_word_suffix") == WORD_END
+        and not made.get("post_processor")
+        and all("<|" in x["content"] and not re.search(r"\s", x["content"]) for x in made.get("added_tokens") or [])
+    )
+
+
 class Encoder:
     """Texts to their ids as little-endian 32-bit bytes, one by one equal to the tokenizer's own.
 
-    For ``word_bpe_49k`` and others with its normalisation (NFC, lower case) and splitting: a text of Latin-1 letters is
+    With a file that normalises and splits like ``word_bpe_49k`` (NFC, lower case) a text of Latin-1 letters is
     cut into the tokenizer's own words here, any other at ASCII white space, across which
     the tokenizer never looks. A word met before is not encoded again; new ones go to the tokenizer many at once, where a
-    token with the mark of a word's end closes each.
+    token with the mark of a word's end closes each. With any other file whole texts go to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -187,12 +219,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = _cuts_like_words(path)
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith(WORD_END)
-        self.memo: dict[str | bytes, bytes] = {"": b""}
+        # Latin-1 words met before, the number of ids of each, and all their ids one after another.
+        self.known = pa.array([], pa.binary())
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u4")
+        self.memo: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out: list[bytes] = [b""] * len(texts)
         plain, other = [], []
         for i, text in enumerate(texts):
@@ -205,38 +244,64 @@ class Encoder:
 
     def _runs(self, texts: list[str]) -> Iterator[bytes]:
         """Latin-1 texts without apostrophes: words are runs of letters, single numbers and runs of other signs."""
-        data = "\n".join([*texts, ""]).lower().encode("latin-1")
-        kind = RUN_KINDS[np.frombuffer(data, np.uint8)]
-        first = np.ones(len(kind) + 1, dtype=bool)
-        first[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
-        borders = np.flatnonzero(first).astype(np.int32)
-        runs = pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(borders), pa.py_buffer(data)])
-        coded = runs.dictionary_encode()
-        known = self.memo
-        words = coded.dictionary.to_pylist()
-        blank = [RUN_KINDS[w[0]] == BLANK for w in words]
-        fresh = [w for w, b in zip(words, blank, strict=True) if not b and w not in known]
-        found = self._words([w.decode("latin-1") for w in fresh])
-        new = {w: found[w.decode("latin-1")] for w in fresh}
-        values = [b"" if b else new[w] if w in new else known[w] for w, b in zip(words, blank, strict=True)]
-        if len(known) <= MEMO_WORDS:
-            known.update((w, i) for w, i in new.items() if len(w) <= MEMO_CHARS)
-        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
-        begins = np.cumsum(sizes) - sizes
-        of = coded.indices.to_numpy()
+        if not texts:
+            return
+        data = "\n".join([*texts, ""]).encode("latin-1").translate(LOWERED)
+        kind = np.frombuffer(data.translate(KIND_OF), np.uint8)
+        solid = kind != BLANK
+        first = np.ones(len(kind), dtype=bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        packed = data.translate(None, BLANKS)
+        borders = np.append(np.flatnonzero(first[solid]), len(packed)).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(borders), pa.py_buffer(packed)])
+        found = pc.index_in(runs, value_set=self.known)
+        fresh = runs.filter(pc.is_null(found))
+        new = fresh.unique()
+        new_sizes, new_ids = self._encoded(new)
+        of = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        of[of < 0] = len(self.known) + pc.index_in(fresh, value_set=new).to_numpy()
+        sizes, ids = np.concatenate([self.sizes, new_sizes]), np.concatenate([self.ids, new_ids])
+        self._keep(new, new_sizes, new_ids)
         size = sizes[of]
         upto = np.concatenate([[0], np.cumsum(size)])
-        place = np.repeat(begins[of] - upto[:-1], size) + np.arange(upto[-1])
-        ids = np.frombuffer(b"".join(values), "<u4")[place]
-        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        ends = np.cumsum(lengths + 1)
-        # The line end after a text may share a run of blanks with it, which has no ids either way.
-        stops = upto[np.searchsorted(borders, ends, side="left").clip(max=len(upto) - 1)]
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[of] - upto[:-1], size) + np.arange(upto[-1])]
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+        ends = np.cumsum(np.add.reduceat(solid, np.cumsum(lengths) - lengths, dtype=np.int64))
         at = 0
-        for stop in stops.tolist():
+        for stop in upto[np.searchsorted(borders, ends)].tolist():
             yield ids[at:stop].tobytes()
             at = stop
 
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of every Latin-1 word, and their ids."""
+        cuts = pa.array([*range(0, len(words), WORDS_AT_ONCE), len(words)], pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(cuts, words), b"\n").to_pylist() if len(words) else []
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        groups = self.tokenizer.encode_batch([g.decode("latin-1") for g in joined], add_special_tokens=False)
+        for group, found in zip(joined, groups, strict=True):
+            part = np.array(found.ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[part]) + 1
+            if len(ends) == group.count(b"\n") + 1 and ends[-1] == len(part):
+                size = np.diff(ends, prepend=0)
+            else:
+                each = self.tokenizer.encode_batch(group.decode("latin-1").split("\n"), add_special_tokens=False)
+                size = np.array([len(e.ids) for e in each], dtype=np.int64)
+                part = np.array([i for e in each for i in e.ids], dtype="<u4")
+            sizes.append(size)
+            ids.append(part)
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def _keep(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Remembers new words while there is room."""
+        room = MEMO_WORDS - len(self.known)
+        short = np.flatnonzero(pc.binary_length(words).to_numpy() <= MEMO_CHARS)[: max(room, 0)]
+        if len(short):
+            kept = np.zeros(len(words), dtype=bool)
+            kept[short] = True
+            self.known = pa.concat_arrays([self.known, words.filter(pa.array(kept))])
+            self.sizes = np.concatenate([self.sizes, sizes[kept]])
+            self.ids = np.concatenate([self.ids, ids[np.repeat(kept, sizes)]])
+
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
         latin = [_is_latin(text) for text in texts]
         split = [LATIN_WORDS.findall(t.lower()) if plain else SPACES.split(t) for t, plain in zip(texts, latin, strict=True)]
@@ -257,20 +322,9 @@ class Encoder:
         return {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(chunks, found, strict=True)}
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
-        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        out: dict[str, bytes] = {}
-        for group, found in zip(groups, self.tokenizer.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, dtype="<u4")
-            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
-            if len(ends) != len(group) or ends[-1] != 4 * len(ids):
-                out |= self._chunks(group)
-                continue
-            data = ids.tobytes()
-            begin = 0
-            for word, end in zip(group, ends.tolist(), strict=True):
-                out[word] = data[begin:end]
-                begin = end
-        return out
+        sizes, ids = self._encoded(pa.array([w.encode("latin-1") for w in words], pa.binary()))
+        data, ends = ids.tobytes(), np.cumsum(sizes) * 4
+        return {w: data[end - 4 * n : end] for w, n, end in zip(words, sizes.tolist(), ends.tolist(), strict=True)}
 
 
 _encoders: dict[str, Encoder] = {}
@@ -283,7 +337,9 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-TEXTS_AT_ONCE = 1024
+# Words that the tokenizer takes as one text, and bytes of texts that are cut together.
+WORDS_AT_ONCE = 256
+TEXT_BYTES = 4 << 20
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> None:
@@ -313,19 +369,17 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 names=["part", "chunk", "start", "doc_ids", "counts", "words", "offsets"],
             )
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                rows = batch.slice(at, TEXTS_AT_ONCE)
-                texts = [t or "" for t in rows.column(1).to_pylist()]
-                for name, found in zip(rows.column(0).to_pylist(), encode(texts), strict=True):
-                    ids += (found, end)
-                    names.append(name)
-                    counts.append(len(found) // 4 + 1)
-                    held += counts[-1]
-                    if held >= CHUNK_IDS:
-                        yield out()
-                        chunk, start = chunk + 1, start + held
-                        ids, names, counts, held = [], [], [], 0
+        for rows in slices(batches, 1, TEXT_BYTES):
+            texts = [t or "" for t in rows.column(1).to_pylist()]
+            for name, found in zip(rows.column(0).to_pylist(), encode(texts), strict=True):
+                ids += (found, end)
+                names.append(name)
+                counts.append(len(found) // 4 + 1)
+                held += counts[-1]
+                if held >= CHUNK_IDS:
+                    yield out()
+                    chunk, start = chunk + 1, start + held
+                    ids, names, counts, held = [], [], [], 0
         if names:
             yield out()
 

@@ -268,6 +268,32 @@ def test_memo_changes_no_ids(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in token_files.encoder(path)(texts)] == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_tokenizer_gives_its_own_ids(name):
+    """Files that cut texts otherwise are not taken for the one whose words the encoder knows."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = ["", " ", "Hello  there, ÜBER 2²3 x", "don't\n\nstop", "\xa0a", "", "two lines\n", "x" * 5000, "naïve\x85 café"]
+    want = [e.ids for e in _tokenizer(Tokenizer, path).encode_batch(texts, add_special_tokens=False)]
+    fresh = token_files.Encoder(path)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in fresh(texts)] == want
+
+
+def test_full_memo_changes_no_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "MEMO_WORDS", 5)
+    monkeypatch.setattr(token_files, "MEMO_CHARS", 4)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    fresh = token_files.Encoder(path)
+    for texts in (["one two", "three"], ["three four five", "one six"], ["seven one eight two"]):
+        want = [e.ids for e in _tokenizer(Tokenizer, path).encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in fresh(texts)] == want
+        assert len(fresh.known) <= 5
+
+
 _loaded = {}
 
 
