@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern import sinks
+from quern import commits, sinks
 from quern.functions.phrases import CONTEXT_WINDOW
 from quern.operators.dedup import dedup_exact
 from quern.operators.flagging import flagged, retained
@@ -17,7 +17,8 @@ from quern.operators.ordering import assign_seq
 from quern.schemas import FILE_ORDER
 from quern.session import intermediate_tables, materialise
 from quern.sources.documents import MAX_FILE_BYTES, collect_documents, rejected_files
-from quern.sources.registry import DATASET_PREFIXES
+from quern.sources import paths
+from quern.sources.registry import DATASET_PREFIXES, read_dataset
 
 # At 8 bytes an id, the ids of flagged rows stay near 100 MB when they go to every task.
 BROADCAST_FLAGGED = 10_000_000
@@ -73,7 +74,7 @@ def sanitize(
     """
     stamp = stamp or timestamp()
     root = root or dataset.rstrip("/").rsplit("/", 1)[0]
-    df = spark.read.parquet(dataset)
+    df = read_dataset(spark, dataset)
     rules = (policy.patterns, policy.context_keywords, policy.window)
     found = flagged(df.select("seq", "text"), *rules).drop("text")
     findings = materialise(found, "findings")
@@ -139,7 +140,10 @@ def store_corpus(
     stamp: str | None = None,
     rejects: DataFrame | None = None,
 ) -> CorpusResult:
-    """``build_corpus`` from a table of documents in ``schemas.FILE_ORDER``."""
+    """``build_corpus`` from a table of documents in ``schemas.FILE_ORDER``.
+
+    The metadata are committed last. A build that ended before may be repeated under its stamp: what it left is removed first.
+    """
     with intermediate_tables(documents.sparkSession):
         return _stored(documents, source, root, policy, stamp or timestamp(), rejects)
 
@@ -152,8 +156,17 @@ def _stored(
     if unique.isEmpty():
         return CorpusResult()
     target = f"{root}/{DATASET_PREFIXES['custom']}{stamp}"
-    sinks.write_dataset(unique.select("seq", "path", "text"), target)
-    stored = spark.read.parquet(target)
+    metadata = f"{root}/metadata/build_{stamp}"
+    sanitized = f"{root}/{DATASET_PREFIXES['sanitized']}{stamp}"
+    sanitization = f"{root}/metadata/sanitization_{stamp}"
+    outputs = [target, sanitized, f"{root}/quarantine_{stamp}.csv", f"{root}/rejects_{stamp}", sanitization]
+    if commits.is_unfinished(spark, metadata):
+        for path in outputs:
+            paths.delete(spark, path)
+    elif any(paths.exists(spark, path) for path in outputs):
+        raise FileExistsError(f"{root} holds files of {stamp} that no unfinished build left")
+    commits.begin(spark, metadata)
+    written = sinks.write_dataset(unique.select("seq", "path", "text"), target)
     # The keys of the metadata.
     fields: dict[str, object] = {"created_at": stamp, "source_documents_dir": source}
     if rejects is not None:
@@ -170,10 +183,10 @@ def _stored(
             "quarantine_report": done.quarantine,
         }
     else:
-        documents_count = stored.count()
+        documents_count = written
         fields["document_count"] = documents_count
-    metadata = f"{root}/metadata/build_{stamp}"
-    sinks.write_metadata(_one_row(spark, fields), metadata)
+    sinks.write_metadata(_one_row(spark, fields), metadata, mode="append")
+    commits.commit(spark, metadata, dataset=target)
     return CorpusResult(
         documents_count,
         done.flagged if done else 0,

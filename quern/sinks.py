@@ -7,13 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.commits import write_committed
+
 # Layout of the quarantine report.
 QUARANTINE_COLUMNS = ("index", "matched_phrases", "excerpt")
 PHRASE_SEPARATOR = "|"
 
 
-def write_dataset(df: DataFrame, path: str) -> None:
-    df.write.parquet(path)
+def write_dataset(df: DataFrame, path: str) -> int:
+    """Parquet with a commit record; returns the number of rows."""
+    return write_committed(df, path)
 
 
 def quarantine_rows(flagged: DataFrame, seq: str = "seq") -> DataFrame:
@@ -45,9 +48,9 @@ def write_jsonl(df: DataFrame, path: str, text: str = "text") -> None:
     df.select(F.col(text).alias("text")).write.json(path)
 
 
-def write_metadata(row: DataFrame, path: str) -> None:
+def write_metadata(row: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A one-row table as JSON."""
-    row.coalesce(1).write.json(path)
+    row.coalesce(1).write.mode(mode).json(path)
 
 
 def append_run_log(rows: DataFrame, path: str) -> None:

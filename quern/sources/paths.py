@@ -44,6 +44,36 @@ def rename_file(spark: SparkSession, name: str, target: str) -> None:
         raise OSError(f"{name} cannot be renamed to {target}")
 
 
+def read_text(spark: SparkSession, name: str) -> str:
+    """A small file's text."""
+    stream = _file_system(spark, name).open(spark._jvm.org.apache.hadoop.fs.Path(name))
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, name: str, text: str) -> None:
+    """Writes a small file beside its place and moves it there, so that it is never seen in part."""
+    path, part = spark._jvm.org.apache.hadoop.fs.Path, f"{name}.part"
+    stream = _file_system(spark, name).create(path(part), True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+    rename_file(spark, part, name)
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    """Removes a file or folder, if it is there."""
+    _file_system(spark, name).delete(spark._jvm.org.apache.hadoop.fs.Path(name), True)
+
+
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of all folders in a folder."""
+    return [str(status.getPath()) for status in _children(spark, folder) if status.isDirectory()]
+
+
 def file_lengths(spark: SparkSession, folder: str) -> Iterator[tuple[str, int]]:
     """(path relative to the folder, bytes) of every file below it, hidden ones too."""
     found = _file_system(spark, folder).listFiles(spark._jvm.org.apache.hadoop.fs.Path(folder), True)

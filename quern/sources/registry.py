@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.commits import is_unfinished, read_committed
 from quern.operators.ordering import first_rows
 from quern.sources.lines import read_word_list
-from quern.sources.paths import first_files
+from quern.sources.paths import first_files, folder_names
 
 DEFAULT_SPLIT = "train"
 # Folder prefixes of stored datasets, the preferred kind first.
@@ -73,7 +74,22 @@ def source_names(spark: SparkSession, listed: str = "", path: str | None = None)
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A stored dataset; an error where its write was not finished."""
+    return read_committed(spark, path)
+
+
+def stored_datasets(spark: SparkSession, root: str) -> DataFrame:
+    """The catalog of a root's folders: path, kind and created_at (what follows the kind's prefix).
+
+    Folders of unfinished writes are left out, as are those of no known kind. The driver lists the datasets, not their files.
+    """
+    found = [
+        (path, kind, path.rsplit("/", 1)[-1].removeprefix(prefix))
+        for path in folder_names(spark, root)
+        for kind, prefix in DATASET_PREFIXES.items()
+        if path.rsplit("/", 1)[-1].startswith(prefix) and not is_unfinished(spark, path)
+    ]
+    return spark.createDataFrame(found, "path string, kind string, created_at string")
 
 
 def latest_by_kind(

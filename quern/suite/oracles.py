@@ -279,6 +279,8 @@ SQL: dict[str, str] = {
         as d2 from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
     "knn_top5": _KNN,
     "knn_blocks": _KNN,
+    "committed_dataset": """
+        select doc_id, md5(text) as text_md5, (select count(*) from documents) as n, false as damaged from documents""",
     "rag_prompts": f"""
         with embedded as (select e.* from embeddings e join documents on doc_id = vec_id),
         near as ({_RANKED.replace("from embeddings q, embeddings d", "from embedded q, embedded d")}),

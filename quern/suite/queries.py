@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern import sinks
+from quern import commits, sinks
 from quern.functions import text as T
 from quern.functions import tokens as K
 from quern.functions.records import joined_responses, pick_text, with_json_text
@@ -434,6 +434,20 @@ def latest_by_kind(spark, sf):
     return newest.select("kind", "path", T.log_timestamp(F.col("created_at")).alias("created_at"))
 
 
+@query
+def committed_dataset(spark, sf):
+    """All documents as a stored dataset, found through the catalog beside a newer one whose write was not finished."""
+    root = scratch(spark, "datasets")
+    commits.write_committed(table(spark, sf, "documents"), f"{root}/custom_dataset_1")
+    commits.begin(spark, f"{root}/sanitized_dataset_2")
+    table(spark, sf, "benchmark").write.mode("append").parquet(f"{root}/sanitized_dataset_2")
+    path = registry.preferred_dataset(registry.stored_datasets(spark, root)).first().path
+    told = commits.record(spark, path)
+    damaged = F.lit(not commits.damage(spark, path).isEmpty())
+    stored = registry.read_dataset(spark, path)
+    return stored.select("doc_id", F.md5("text").alias("text_md5"), F.lit(told["rows"]).cast("long").alias("n"), damaged.alias("damaged"))
+
+
 @query
 def preferred_dataset(spark, sf):
     """Purchases stand for sanitized datasets, clicks for custom ones, the rest for other folders."""
