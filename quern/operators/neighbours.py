@@ -15,11 +15,15 @@ from quern.schemas import NEIGHBOURS
 TOP_K = 5
 
 # Queries up to this many bytes (as doubles) go to every task whole; beyond, both sides are cut
-# into blocks of at most about BLOCK_ROWS rows and every pair of blocks becomes one task's work.
+# into blocks of at most about BLOCK_ROWS rows, blocks are put together to bands, and every pair of
+# bands becomes one task's work. There are GRID bands, or more where one would exceed BAND_BYTES (as doubles).
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 50_000
-# Distances held at once by one task.
-_CELLS = 4 << 20
+GRID = 16
+BAND_BYTES = 64 << 20
+# Documents compared at a time, and distances held at once by one task.
+_CHUNK = 1 << 10
+_CELLS = 1 << 18
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -40,33 +44,40 @@ class _Best:
         self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        step = max(1, _CELLS // max(1, len(ids)))
         norms = np.einsum("ij,ij->i", vectors, vectors)
-        for start in range(0, len(self.queries), step):
-            self._add(slice(start, start + step), ids, vectors, norms)
+        for first in range(0, len(ids), _CHUNK):
+            own = slice(first, first + _CHUNK)
+            step = max(1, _CELLS // len(ids[own]))
+            for start in range(0, len(self.queries), step):
+                self._add(slice(start, start + step), ids[own], vectors[own], norms[own])
 
     def _add(self, part: slice, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> None:
-        queries = self.queries[part]
-        rough = self.norms[part, None] + norms[None, :] - 2.0 * (queries @ vectors.T)
+        queries, d2, own = self.queries[part], self.d2[part], self.ids[part]
+        rough = queries @ vectors.T
+        rough *= -2.0
+        rough += norms[None, :]
+        rough += self.norms[part, None]
         # The product form loses digits, so everything near the k-th distance is measured again.
         slack = 1e-9 * (1.0 + self.norms[part].max(initial=0.0) + norms.max(initial=0.0))
-        bound = self.d2[part, -1].copy()
-        if rough.shape[1] > self.k:
+        bound = d2[:, -1]
+        near = rough <= bound[:, None] + slack
+        if rough.shape[1] > self.k and np.count_nonzero(near) > 2 * self.k * len(queries):
             bound = np.minimum(bound, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
-        rows, cols = np.nonzero(rough <= bound[:, None] + slack)
+            near = rough <= bound[:, None] + slack
+        rows, cols = np.nonzero(near)
         if not len(rows):
             return
         exact = ((queries[rows] - vectors[cols]) ** 2).sum(axis=1)
-        n = len(queries)
-        all_rows = np.concatenate([rows, np.repeat(np.arange(n), self.k)])
-        all_d2 = np.concatenate([exact, self.d2[part].ravel()])
-        all_ids = np.concatenate([ids[cols], self.ids[part].ravel()])
+        # Only queries that met something near are ordered anew.
+        met, of = np.unique(rows, return_inverse=True)
+        all_rows = np.concatenate([of, np.repeat(np.arange(len(met)), self.k)])
+        all_d2 = np.concatenate([exact, d2[met].ravel()])
+        all_ids = np.concatenate([ids[cols], own[met].ravel()])
         order = np.lexsort((all_ids, all_d2, all_rows))
-        all_rows, all_d2, all_ids = all_rows[order], all_d2[order], all_ids[order]
-        first = np.searchsorted(all_rows, np.arange(n))
-        take = (first[:, None] + np.arange(self.k)[None, :]).ravel()
-        self.d2[part] = all_d2[take].reshape(n, self.k)
-        self.ids[part] = all_ids[take].reshape(n, self.k)
+        first = np.searchsorted(all_rows[order], np.arange(len(met)))
+        take = order[(first[:, None] + np.arange(self.k)[None, :]).ravel()]
+        d2[met] = all_d2[take].reshape(-1, self.k)
+        own[met] = all_ids[take].reshape(-1, self.k)
 
     def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
         known = np.isfinite(self.d2).ravel()
@@ -101,30 +112,35 @@ def _against_all(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(scan, NEIGHBOURS)
 
 
-def _by_blocks(
-    docs: DataFrame, queries: DataFrame, k: int, doc_blocks: int, query_blocks: int
+def _bands(rows: int, width: int, block_rows: int) -> int:
+    """Bands for ``rows`` vectors: never more than blocks, and no more than GRID while they fit into BAND_BYTES."""
+    return min(-(-rows // block_rows), max(GRID, -(-rows * (width + 1) * 8 // BAND_BYTES))) or 1
+
+
+def _by_bands(
+    docs: DataFrame, queries: DataFrame, k: int, doc_bands: int, query_bands: int
 ) -> DataFrame:
-    """Every block of documents meets every block of queries once.
+    """Every band of documents meets every band of queries once.
 
-    Ids are spread by hash, so blocks have equal sizes; documents are copied once per query
-    block and queries once per document block.
+    Ids are spread by hash, so bands have equal sizes; documents are copied once per query
+    band and queries once per document band.
     """
 
-    def grid(df: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("_id"), F.lit(own_blocks)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))
-        return df.select("*", block.alias(own), copies.alias(other))
+    def grid(df: DataFrame, own: str, own_bands: int, other: str, other_bands: int) -> DataFrame:
+        band = F.pmod(F.xxhash64("_id"), F.lit(own_bands)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(other_bands - 1)))
+        return df.select("*", band.alias(own), copies.alias(other))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         best = _Best(_matrix(right.column("_vector")), k)
         if left.num_rows and right.num_rows:
-            ids, vectors = left.column("_id").to_numpy(), _matrix(left.column("_vector"))
-            for start in range(0, len(ids), 4096):
-                best.add(ids[start : start + 4096], vectors[start : start + 4096])
+            ids = left.column("_id").to_numpy()
+            for start in range(0, len(ids), _CHUNK):
+                best.add(ids[start : start + _CHUNK], _matrix(left.column("_vector").slice(start, _CHUNK)))
         return pa.Table.from_batches([best.batch(right.column("_id").to_numpy())])
 
-    left = grid(docs, "_db", doc_blocks, "_qb", query_blocks).groupBy("_db", "_qb")
-    right = grid(queries, "_qb", query_blocks, "_db", doc_blocks).groupBy("_db", "_qb")
+    left = grid(docs, "_db", doc_bands, "_qb", query_bands).groupBy("_db", "_qb")
+    right = grid(queries, "_qb", query_bands, "_db", doc_bands).groupBy("_db", "_qb")
     return left.cogroup(right).applyInArrow(cell, NEIGHBOURS)
 
 
@@ -141,8 +157,8 @@ def knn(
     """The ``k`` nearest documents of every query: query_id, doc_id, d2, rank.
 
     Ties go to the smaller id, and with fewer than ``k`` documents there are fewer rows. Counts
-    the queries first (an action) to choose between sending them to every task and the block
-    grid. Either way a task keeps ``k`` candidates per query, never all pairs.
+    the queries first (an action) to choose between sending them to every task and the grid of
+    bands, which have ``block_rows`` rows or more. Either way a task keeps ``k`` candidates per query, never all pairs.
     """
     kept = F.col(vector).isNotNull()
     left = docs.filter(kept).select(
@@ -154,5 +170,5 @@ def knn(
     n, width = right.agg(F.count("*"), F.coalesce(F.max(F.size("_vector")), F.lit(0))).first()
     if n * (width + 1) * 8 <= broadcast_bytes:
         return _final(_against_all(left, right, k), k)
-    doc_blocks = -(-left.count() // block_rows) or 1
-    return _final(_by_blocks(left, right, k, doc_blocks, -(-n // block_rows)), k)
+    doc_bands = _bands(left.count(), width, block_rows)
+    return _final(_by_bands(left, right, k, doc_bands, _bands(n, width, block_rows)), k)

@@ -30,6 +30,18 @@ def test_embeddings_equal_plain_loop(spark):
         assert found(neighbours.knn(docs, asked, broadcast_bytes=0, block_rows=block_rows)) == want
 
 
+def test_copies_grow_no_faster_than_the_rows(spark, monkeypatch):
+    """However small the blocks, a vector meets at most GRID bands; each gives k candidates."""
+    rng = random.Random(5)
+    rows = [(i, [float(np.float32(rng.random())) for _ in range(3)]) for i in range(400)]
+    docs, asked = frame(spark, rows, "doc_id"), frame(spark, rows, "query_id")
+    assert found(neighbours.knn(docs, asked, k=2, broadcast_bytes=0, block_rows=4)) == sorted(nearest(rows, rows, 2))
+    monkeypatch.setattr(neighbours, "_final", lambda partial, k: partial)
+    assert neighbours.knn(docs, asked, k=2, broadcast_bytes=0, block_rows=4).count() <= 400 * 2 * 16
+    # Bands have a bounded size, so there are more of them for very many vectors.
+    assert neighbours._bands(10_000_000, 64, 300) == 78
+
+
 def test_ties_and_few_vectors(spark):
     vectors = [(9, [1.0, 0.0]), (3, [1.0, 0.0]), (5, [0.0, 1.0])]
     docs, asked = frame(spark, vectors, "doc_id"), frame(spark, [(1, [1.0, 0.0])], "query_id")
