@@ -23,6 +23,8 @@ from quern.sources.paths import file_names
 
 # One row cannot hold more; larger files are listed by ``rejected_files``.
 MAX_FILE_BYTES = 2_000_000_000
+# So many of the scan's tasks at most become one where text files are read.
+TASKS_IN_ONE = 16
 
 
 def _glob(suffix: str) -> str:
@@ -36,6 +38,13 @@ def _documents(df: DataFrame, text: Column, rank: int = 0) -> DataFrame:
     return rows.filter(F.length("text") > 0)
 
 
+def _packed(files: DataFrame) -> DataFrame:
+    """``files`` in fewer tasks: Spark counts a small file as 4 MB, so many of them make tasks of a few files each."""
+    tasks = files.rdd.getNumPartitions()
+    fewer = max(-(-tasks // TASKS_IN_ONE), 4 * files.sparkSession.sparkContext.defaultParallelism)
+    return files.coalesce(fewer) if fewer < tasks else files
+
+
 def oversized(
     spark: SparkSession, path: str, suffixes: Sequence[str], max_bytes: int = MAX_FILE_BYTES
 ) -> DataFrame:
@@ -51,7 +60,7 @@ def read_text_documents(
     spark: SparkSession, path: str, rank: int = 0, max_bytes: int = MAX_FILE_BYTES
 ) -> DataFrame:
     """One document per text file."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=_glob("txt"))
+    files = _packed(spark.read.text(path, wholetext=True, pathGlobFilter=_glob("txt")))
     placed = files.filter(F.col("_metadata.file_size") <= max_bytes).select(
         F.col("_metadata.file_path").alias("path"),
         F.lit(0).cast("long").alias("block"),

@@ -37,6 +37,7 @@ HEAD = 10
 VOCABULARY = 1000
 QUICK_ROWS = 50
 PHRASE_WORDS = 5
+FILES_PER_FOLDER = 200
 
 QUERIES: dict[str, Query] = {}
 
@@ -607,10 +608,18 @@ def csv_headerless(spark, sf):
 
 @query
 def text_folder(spark, sf):
-    """Pages as text files, one each."""
+    """Pages as text files, one each; a task's rows of one id share a file."""
     path = scratch(spark, "texts")
-    pages = table(spark, sf, "pages").select("page_id", F.concat(F.lit(" \n"), "html"))
-    pages.write.partitionBy("page_id").text(path)
+    pages = table(spark, sf, "pages")
+    folders = -(-pages.count() // FILES_PER_FOLDER) or 1
+    own = ["page_id", "part"]
+    rows = pages.select("page_id", F.spark_partition_id().alias("part"), F.concat(F.lit(" \n"), "html").alias("line"))
+    lines = F.array_join(F.collect_list(F.coalesce("line", F.lit(""))), "\n")
+    files = rows.repartition(folders, *own).groupBy(*own).agg(lines.alias("value"))
+    files = files.select("value", F.pmod(F.hash(*own), F.lit(folders)).alias("folder"))
+    # Folders of many files, moved by the tasks that wrote them: a folder for each file is made, moved and listed one by one.
+    writer = files.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+    writer.partitionBy("folder").text(path)
     return document_files.read_text_documents(spark, f"{path}/*").select("text")
 
 

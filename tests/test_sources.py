@@ -1,5 +1,6 @@
 import os
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from quern.sources.paths import first_files
 from quern.sources.registry import SourceRegistry, load_source
 from quern.sources import lines as L
 from quern.sources import registry as R
+from quern.suite.queries import QUERIES
 
 
 def write(folder, name, content):
@@ -86,6 +88,34 @@ def test_text_files(spark, tmp_path):
     assert [os.path.basename(r.path) for r in left_out] == ["a.txt"]
 
 
+def test_small_text_files_share_tasks(spark, tmp_path):
+    for i in range(120):
+        write(tmp_path, f"{i}.txt", f"text {i}")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = D.read_text_documents(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert sorted(texts(found)) == sorted(f"text {i}" for i in range(120))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_pages_share_folders(spark, tmp_path):
+    """A file for each page, in folders of many; rows of one id, or without one, share a file within a task."""
+    rows = [(i, f"page {i}") for i in range(230)] + [(7, "again"), (None, "x"), (None, "y"), (300, None), (301, " ")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.glob("texts-*"))
+    found = [r.text for r in QUERIES["text_folder"](spark, str(tmp_path)).collect()]
+    once = [f"page {i}" for i in range(230) if i != 7]
+    assert sorted(t for t in found if t in once) == sorted(once)
+    joined = sorted(sorted(part.strip() for part in t.split("\n") if part.strip()) for t in found if t not in once)
+    assert joined == [["again", "page 7"], ["x", "y"]]
+    (made,) = set(root.glob("texts-*")) - before
+    assert len(list(made.glob("folder=*"))) <= 2 and len(list(made.glob("*/*.txt"))) == 233
+
+
 WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
