@@ -113,21 +113,25 @@ def _owners(values: Column) -> Column:
     return F.flatten(F.transform(values, lambda v, i: F.array_repeat(i, holds(v))))
 
 
-def _begins(tokens: Column, starts: Column) -> Column:
-    """Hashes of the first two tokens at all ``starts``."""
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, 2)))
+def _begin(tokens: str | Column, start: Column) -> Column:
+    """Hash of the two tokens at ``start``, counted from 1; of one where the text ends."""
+    return F.xxhash64(F.get(tokens, start - 1), F.get(tokens, start))
 
 
-def _windows_at(tokens: str, width: int, begins: list[int] | None) -> Column:
-    """(at, hash) of the windows of ``width`` tokens that begin like one of an item, from place 0; all if not known."""
-    last = F.size(tokens) - (width - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    if begins is not None and width > 1:
-        # As text, since thousands of literals are slow to build one by one.
-        listed = ", ".join(f"{b}L" if b > -(1 << 63) else "cast('-9223372036854775808' as long)" for b in begins or [0])
-        places = F.expr(f"filter(sequence(1, greatest(size({tokens}) - {width - 1}, 1)), i -> xxhash64(slice({tokens}, i, 2)) in ({listed}))")
-        starts = F.when(last >= 1, places).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(tokens, i, width)).alias("hash")))
+def _begins(tokens: Column) -> Column:
+    """Hashes of two tokens at all places of an item, or of its only one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(1)))
+    return F.transform(F.when(F.size(tokens) > 0, starts), lambda i: _begin(tokens, i))
+
+
+def _begun(widths: list[int], begins: list[int] | None) -> Column:
+    """Whether the ``tokens`` at ``start`` begin like those of an item's window; true where that is not known."""
+    if begins is None:
+        return F.lit(True)
+    # As text, since thousands of literals are slow to build one by one.
+    listed = ", ".join(f"{b}L" if b > -(1 << 63) else "cast('-9223372036854775808' as long)" for b in begins or [0])
+    found = F.expr(f"xxhash64(get(tokens, start - 1), get(tokens, start)) in ({listed})")
+    return found | F.expr(f"xxhash64(get(tokens, start - 1)) in ({listed})") if 1 in widths else found
 
 
 def _windows(tokens: Column, width: Column | int) -> Column:
@@ -164,21 +168,24 @@ def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         own = own.select("item_id", "item_hash", "view", "width", F.posexplode_outer(_windows(F.col("tokens"), F.col("width"))).alias("start", "hash"))
         known = own if known is None else known.unionByName(own)
     known = materialise(known, "item-windows")
-    begins = {}
-    for view in VIEWS:
-        tokens = F.col(f"{view}_tokens")
-        starts = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-        found = items.select(F.explode(_begins(tokens, starts)).alias("b")).distinct().limit(BEGINS + 1).collect()
-        # Beyond the limit all windows are joined.
-        begins[view] = [r.b for r in found] if len(found) <= BEGINS else None
-    sizes = sorted((r["view"], r["width"]) for r in known.select("view", "width").distinct().collect())
+    sizes = known.select("view", "width").distinct().collect()
     tokens = _keyed(docs).select("doc_id", "text_hash", *(template_tokens(F.col("text"), view).alias(view) for view in VIEWS))
-    windows = [F.struct(F.lit(v).alias("view"), F.lit(w).alias("width"), _windows_at(v, w, begins[v]).alias("windows")) for v, w in sizes]
-    if not windows:
-        windows = [F.struct(F.lit(PLAIN).alias("view"), F.lit(0).alias("width"), _windows_at(PLAIN, 1 << 30, None).alias("windows"))]
-    rows = tokens.select("doc_id", "text_hash", F.inline_outer(F.array(*windows)))
-    # An inner explode would get a filter on its array, which evaluates the tokens once for each window.
-    rows = rows.select("doc_id", "text_hash", "view", "width", F.inline_outer("windows"))
+    views = [F.struct(F.lit(v).alias("view"), F.col(v).alias("tokens")) for v in VIEWS]
+    rows = tokens.select("doc_id", "text_hash", F.inline_outer(F.array(*views)))
+    # A row for each place, as rows are compiled and functions over arrays are not. An inner explode would get a filter
+    # on its array.
+    rows = rows.select("*", F.explode_outer(F.sequence(F.lit(1), F.greatest(F.size("tokens"), F.lit(1)))).alias("start"))
+    begun, widths = F.lit(False), F.array().cast("array<int>")
+    for view in VIEWS:
+        own = sorted(r["width"] for r in sizes if r["view"] == view)
+        if own:
+            found = items.select(F.explode(_begins(F.col(f"{view}_tokens"))).alias("b")).distinct().limit(BEGINS + 1).collect()
+            # Beyond the limit all windows are joined.
+            begun |= (F.col("view") == view) & _begun(own, [r["b"] for r in found] if len(found) <= BEGINS else None)
+            widths = F.when(F.col("view") == view, F.array(*map(F.lit, own))).otherwise(widths)
+    rows = rows.where(begun).select("*", F.explode_outer(widths).alias("width")).where("start <= size(tokens) - width + 1")
+    hashed = F.xxhash64(F.slice("tokens", F.col("start"), F.col("width")))
+    rows = rows.select("doc_id", "text_hash", "view", "width", (F.col("start") - 1).alias("at"), hashed.alias("hash"))
     rows = rows.join(_small(known), ["hash", "view", "width"])
     found = rows.groupBy("doc_id", "text_hash", "item_id", "item_hash", "view", "width", (F.col("at") - F.col("start")).alias("shift")).agg(
         F.collect_set("start").alias("starts")

@@ -1,6 +1,7 @@
 """Mixing, decontamination, exact duplicates and sharding against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import plain_llm as plain
@@ -237,3 +238,26 @@ def test_sharded_rows(spark):
     got = sharding.sharded(frame(spark, rows), 3)
     assert got.columns[-2:] == ["_shard", "slot"]
     assert Counter(tuple(r)[:-2] for r in got.collect()) == Counter(tuple(r.values()) for r in rows)
+
+
+def test_windows_are_rows_and_begins_lose_none(spark, monkeypatch):
+    """Places of windows are rows, not functions over arrays; which begins are known changes no result."""
+    draw = random.Random(11)
+    word = lambda: draw.choice(["alpha", "beta", "gamma", "delta", "12", "Anna"])
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 1, 2, 3, 5, 8, 9, 14])]
+    docs = [(i, " ".join(word() for _ in range(draw.choice([0, 1, 2, 40])))) for i in range(60)] + [(90 + i, f"So {t} it is") for i, t in items] + [(99, None)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    plans = []
+
+    def kept(df, label, write=decontamination.materialise):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(decontamination, "materialise", kept)
+    found = sorted(map(tuple, decontamination.leaks(docs, items).collect()))
+    (plan,) = [p for label, p in plans if label == "item-hits"]
+    assert "xxhash64(slice(tokens#" in plan and not re.search(r"slice\(\w+#\d+, \(?lambda", plan)
+    assert {r[2] for r in found if r[0] >= 90} == set(range(8))
+    monkeypatch.setattr(decontamination, "BEGINS", 0)
+    assert sorted(map(tuple, decontamination.leaks(docs, items).collect())) == found
+    assert decontamination.leaks(docs, items.limit(0)).collect() == []
